@@ -136,11 +136,15 @@ def _train(docs: list[list[list[str]]], toxic: np.ndarray, landmarks: int = 128,
     scorer = None
     for _ in range(rounds):
         best = [m[np.argmax(score[m])] for m, t in zip(members, toxic) if t and len(m)]
-        witness = np.unique([w for w in best if score[w] > 0] or best)  # a document without a likely sentence is taken as labelled wrongly
+        # a document without a likely sentence is taken as labelled wrongly
+        witness, times = np.unique([w for w in best if score[w] > 0] or best, return_counts=True)
         hard = clean[np.argsort(-score[clean], kind="stable")[:2000]]
         some = np.unique(np.r_[hard, rng.choice(clean, min(4000, len(clean)), replace=False)])
-        witness = np.setdiff1d(witness, clean) if len(np.setdiff1d(witness, clean)) else witness
-        z = np.r_[rng.choice(witness, min(landmarks * 3 // 4, len(witness)), replace=False), rng.choice(hard, min(landmarks // 4, len(hard)), replace=False)]
+        if not np.isin(witness, clean).all():
+            witness, times = witness[~np.isin(witness, clean)], times[~np.isin(witness, clean)]
+        often = witness[np.argsort(-times, kind="stable")]
+        rare = often[landmarks // 2 :]
+        z = np.r_[often[: landmarks // 2], rng.choice(rare, min(landmarks // 4, len(rare)), replace=False), rng.choice(hard, min(landmarks // 4, len(hard)), replace=False)]
         codes, weights = subsequences([words[i] for i in z])
         used, at = np.unique(codes[weights > 0], return_inverse=True)
         phi = np.zeros((len(z), len(used)), np.float32)
@@ -161,7 +165,7 @@ def _train(docs: list[list[list[str]]], toxic: np.ndarray, landmarks: int = 128,
             kernel[lo : lo + 512] = x[:, :-1] @ phi.T
         x = np.c_[kernel @ root, np.ones(len(train))]
         y = np.r_[np.ones(len(witness)), -np.ones(len(some))]
-        beta = _squared_hinge(x, y, np.where(y > 0, cost * len(some) / max(1, len(witness)), cost))
+        beta = _squared_hinge(x, y, cost * np.r_[len(some) * times / times.sum(), np.ones(len(some))])
         fold = (root @ beta[:-1]) @ phi
         scorer = Scorer(used, fold, 1.0, -float(beta[-1]))
         score = scorer.words(words) + float(beta[-1])
