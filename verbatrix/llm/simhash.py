@@ -58,7 +58,7 @@ def ball(bits: int, radius: int) -> np.ndarray:
 
 
 def _emit(bits: int, radius: int, buckets: int, step: int):
-    """Variants of each fingerprint, in blobs by bucket: number of fingerprints, they, 32 bits of each variant's hash, whose it is."""
+    """Variants of each fingerprint, in blobs by bucket: number of fingerprints, they, how many variants each has here, the variants' masks."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         masks = ball(bits, radius)
@@ -66,19 +66,16 @@ def _emit(bits: int, radius: int, buckets: int, step: int):
             fps = f["fp"].to_numpy(np.int64).view(np.uint64)
             for lo in range(0, len(fps), step):
                 some = fps[lo : lo + step]
-                mixed = ((some >> np.uint64(64 - bits))[:, None] ^ masks[None, :]).ravel() * _MIX
-                whose = np.repeat(np.arange(len(some), dtype="<u2"), len(masks))
-                bucket = ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16)
-                order = np.argsort(bucket, kind="stable")
-                low = (mixed ^ (mixed >> np.uint64(29))).astype("<u4")[order]
-                whose = whose[order]
+                bucket = (((some >> np.uint64(64 - bits))[:, None] ^ masks[None, :]).ravel() * _MIX >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                order = np.argsort(bucket.astype(np.uint16), kind="stable")
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                whose, mask = np.divmod(order, len(masks))
                 out = []
                 for b in range(buckets):
                     i, j = ends[b], ends[b + 1]
                     if i < j:
-                        own, ref = np.unique(whose[i:j], return_inverse=True)
-                        out.append((b, len(own).to_bytes(4, "little") + some[own].astype("<u8").tobytes() + low[i:j].tobytes() + ref.astype("<u2").tobytes()))
+                        own, times = np.unique(whose[i:j], return_counts=True)
+                        out.append((b, len(own).to_bytes(4, "little") + some[own].astype("<u8").tobytes() + times.astype("<u2").tobytes() + mask[i:j].astype("<u2").tobytes()))
                 yield pd.DataFrame(out, columns=["bucket", "blob"])
 
     return run
@@ -88,16 +85,18 @@ def _close(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= most
 
 
-def links_of_bucket(blobs: list[bytes], most: int) -> np.ndarray:
+def links_of_bucket(blobs: list[bytes], most: int, bits: int, radius: int) -> np.ndarray:
     """Pairs of fingerprints at ``most`` bits or fewer that connect all that such pairs among colliding variants connect."""
-    keys, fps = [], []
+    masks, keys, fps = ball(bits, radius), [], []
     for blob in blobs:
         n = int.from_bytes(blob[:4], "little")
-        own = np.frombuffer(blob, "<u8", n, 4)
-        m = (len(blob) - 4 - 8 * n) // 6
-        keys.append(np.frombuffer(blob, "<u4", m, 4 + 8 * n))
-        fps.append(own[np.frombuffer(blob, "<u2", m, 4 + 8 * n + 4 * m)])
+        times = np.frombuffer(blob, "<u2", n, 4 + 8 * n)
+        fp = np.repeat(np.frombuffer(blob, "<u8", n, 4), times)
+        mixed = ((fp >> np.uint64(64 - bits)) ^ masks[np.frombuffer(blob, "<u2", -1, 4 + 10 * n)]) * _MIX
+        keys.append((mixed ^ (mixed >> np.uint64(29))).astype("<u4"))  # two variants that differ may share this: links are verified
+        fps.append(fp)
     key, fp = np.concatenate(keys), np.concatenate(fps)
+    del keys, fps
     order = np.argsort(key, kind="stable")
     key, fp = key[order], fp[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -132,7 +131,7 @@ def links_of_bucket(blobs: list[bytes], most: int) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.uint64)
 
 
-def fingerprint_links(fps: DataFrame, n: int, *, most: int = 4, bucket_mb: int = 4) -> DataFrame:
+def fingerprint_links(fps: DataFrame, n: int, *, most: int = 4, bucket_mb: int = 16) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fps`` (fp) at ``most`` bits or fewer, enough to connect each component.
 
     Two such fingerprints have a variant in common when each flips at most half of ``most`` bits. The variants are
@@ -143,14 +142,14 @@ def fingerprint_links(fps: DataFrame, n: int, *, most: int = 4, bucket_mb: int =
     bits = min(64, max(20, math.ceil(math.log2(max(n, 2))) + 14))
     radius = most // 2 + most % 2
     masks = sum(math.comb(bits, k) for k in range(radius + 1))
-    buckets = max(1, min(1 << 15, n * masks * 6 // (bucket_mb << 20) + 1))
+    buckets = max(1, min(1 << 15, n * masks * 3 // (bucket_mb << 20) + 1))
     step = max(256, min(1 << 14, (1 << 22) // masks))
 
     def reduce(frame: pd.DataFrame) -> pd.DataFrame:
-        pairs = links_of_bucket(list(frame["blob"]), most).view(np.int64)
+        pairs = links_of_bucket(list(frame["blob"]), most, bits, radius).view(np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    blobs = fps.select("fp").mapInPandas(_emit(bits, radius, buckets, step), "bucket int, blob binary")
+    blobs = fps.select("fp").repartition(max(1, n * masks >> 22), "fp").mapInPandas(_emit(bits, radius, buckets, step), "bucket int, blob binary")
     return blobs.groupBy("bucket").applyInPandas(reduce, "a bigint, b bigint").distinct()
 
 
