@@ -1,6 +1,233 @@
-def queries():
-    return {}
+"""The registered queries over the driver's tables, and SQL that DuckDB runs to the same rows."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import normalize as nm
+from .functions.fixed import ABBREVIATIONS, ENTITY, STOP_WORDS, TAG
+from .operators import ngrams, profile, sampling
+from .plans.listings import PARTS, REMARKS, by_template, extract_listings, listings
+from .shipping import ship
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+_WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]+"
+_NWS = r"[^\t-\r\x1c-\x20\x{85}\p{Z}]+"
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents")
+
+
+def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings(_read(spark, sf_dir, "part"))
+
+
+_FROM = f"FROM ({PARTS.format(part='part', q='chr(39)')})"
+
+
+def _duck(texts: dict[int, str], changed: dict[int, str] | None = None) -> str:
+    return by_template(texts, changed).replace("AS STRING", "AS VARCHAR")
+
+
+def _sums(counts: dict[str, dict[int, int]], name: str) -> str:
+    """Expected (name, n): by label, how often each template has it."""
+    parts = [f"SELECT '{label}' AS {name}, CAST(sum(CASE k {' '.join(f'WHEN {t} THEN {c}' for t, c in by.items())} ELSE 0 END) AS BIGINT) AS n {_FROM}" for label, by in counts.items()]
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE n > 0"
+
+
+@_query("SELECT avg(CASE WHEN text IS NULL THEN 1.0 ELSE 0.0 END) AS null_rate, avg(length(text)) AS avg_length, "
+        f"avg(len(regexp_extract_all(text, '{_NWS}'))) AS avg_num_words FROM documents")
+def q_profile_scalar(spark, sf_dir):
+    return profile.scalar_profile(_docs(spark, sf_dir), "text")
+
+
+_W = f"(SELECT len(regexp_extract_all(text, '{_NWS}')) AS w FROM documents WHERE text IS NOT NULL)"
+
+
+@_query(f"SELECT count(w) AS count, avg(w) AS mean, round(stddev_samp(w), 6) AS std, min(w) AS min, quantile_cont(w, 0.25) AS q25, quantile_cont(w, 0.5) AS q50, quantile_cont(w, 0.75) AS q75, max(w) AS max FROM {_W}")
+def q_describe_words(spark, sf_dir):
+    return profile.describe_words(_docs(spark, sf_dir), "text").withColumn("std", F.round("std", 6))
+
+
+@_query(f"""WITH e AS (SELECT min(w)::DOUBLE AS a, max(w)::DOUBLE AS b FROM {_W}), c AS (SELECT least(floor((w - a) * 50 / (b - a)), 49)::INTEGER AS bin FROM {_W}, e)
+SELECT x.bin::INTEGER AS bin, a + x.bin * (b - a) / 50 AS lo, (SELECT count(*) FROM c WHERE c.bin = x.bin) AS n FROM e, (SELECT unnest(range(50)) AS bin) x""")
+def q_hist_words(spark, sf_dir):
+    return profile.word_histogram(_docs(spark, sf_dir), "text", 50)
+
+
+@_query("SELECT doc_id, length(text) AS n_chars FROM documents WHERE strlen(text) > 50")
+def q_filter_len_bytes(spark, sf_dir):
+    return _docs(spark, sf_dir).where(F.octet_length("text") > 50).select("doc_id", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query(r"SELECT char, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\x00-\x7F]')) AS char FROM documents) GROUP BY char")
+def q_unicode_chars(spark, sf_dir):
+    return profile.detect_unicode(_docs(spark, sf_dir), "text")
+
+
+@_query(f"SELECT found, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '{ENTITY}')) AS found FROM pages) GROUP BY found")
+def q_html_entities(spark, sf_dir):
+    return profile.frequencies(_read(spark, sf_dir, "pages"), F.regexp_extract_all(F.col("html"), F.lit(ENTITY), F.lit(0)), "found")
+
+
+@_query(f"SELECT found, count(*) AS n FROM (SELECT unnest(list_concat(regexp_extract_all(html, '{ENTITY}'), regexp_extract_all(html, '{TAG}'))) AS found FROM pages) GROUP BY found")
+def q_html_found(spark, sf_dir):
+    return profile.detect_html(_read(spark, sf_dir, "pages"), "html")
+
+
+@_query("SELECT page_id, md5(regexp_replace(html, '</?[^>]*>', '', 'g')) AS text_md5 FROM pages")
+def q_strip_tags(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", F.md5(nm.strip_tags(F.col("html"))).alias("text_md5"))
+
+
+_ONE_WORD = [k for k in ABBREVIATIONS if k.isalpha()]
+_WORDS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+
+
+@_query(f"SELECT abbr, count(*) AS n FROM (SELECT unnest({_WORDS_SQL}) AS abbr FROM documents) WHERE abbr IN ({', '.join(repr(k) for k in _ONE_WORD)}) GROUP BY abbr")
+def q_abbrev_words(spark, sf_dir):
+    return profile.detect_abbreviations(_docs(spark, sf_dir), "text", None).where(F.col("abbr").isin(_ONE_WORD))
+
+
+@_query(_sums({"br": {0: 1}, "ba": {0: 1}, "sqft": {0: 1}, "w/": {0: 1}, "sq. ft": {3: 1}, "a/c": {5: 1}, "w/d": {5: 1}, "w/o": {5: 1}, "hoa": {5: 1}, "yr": {6: 1}, "dr": {9: 1}}, "abbr"))
+def q_abbrev_counts(spark, sf_dir):
+    return profile.detect_abbreviations(_listings(spark, sf_dir), "remarks", None)
+
+
+@_query(_sums({"$_k": {2: 1, 4: 1}, "$_m": {1: 1}, "Nk": {0: 1, 2: 1, 4: 1, 9: 1}, "Nm": {1: 1, 4: 1}, "$N": {1: 1, 2: 1, 3: 1, 4: 1}, "N_comma": {3: 2}, "N thousand": {3: 1}}, "label"))
+def q_price_counts(spark, sf_dir):
+    return profile.detect_prices(_listings(spark, sf_dir), "remarks")
+
+
+@_query(_sums({"sq ft": {0: 1, 3: 1}, "sqft": {0: 1}, "acres": {1: 1, 5: 2}, "sq meters": {5: 1}, "leading_decimal": {2: 1}, "feet_apostrophe": {1: 1, 4: 3}, "inches_quote": {2: 1, 4: 1}, "ft_abbrev": {2: 1}}, "label"))
+def q_measure_counts(spark, sf_dir):
+    return profile.detect_measurements(_listings(spark, sf_dir), "remarks")
+
+
+def _expected(changed: dict[int, str]) -> str:
+    return f"SELECT id, {_duck(REMARKS, changed)} AS text {_FROM}"
+
+
+def _on_listings(step) -> Query:
+    return lambda spark, sf_dir: _listings(spark, sf_dir).select("id", step(F.col("remarks")).alias("text"))
+
+
+_STEPS = {
+    "q_norm_prices": (nm.normalize_prices, {
+        0: "z || ' br 2 ba, ' || s || ' sqft, priced at ' || nk || '. W/ garage.'", 1: "'Luxury home $1200000, 9' || q || ' ceilings, ' || z || '.5 acres. &amp; ready.'",
+        2: "'Condo .5 mile away, 10ft ceiling, 6\" trim. $5500 reduced!'", 3: "'Listed $1234567 with ' || n || '500 sq. ft. and ' || zk || ' trees'",
+        4: "'Was $1,234000, yard 25000000 x 5' || q || 'x7' || q || ', 9' || q || '6\" door'", 9: "'Main Dr, 3br, w/garage, 401000'"}),
+    "q_norm_measure": (nm.normalize_measurements, {
+        0: "z || ' br 2 ba, ' || s || ' square feet, priced at ' || n || 'k. W/ garage.'", 1: "'Luxury home $1.2m, 9 foot ceilings, ' || z || '.5 acres. &amp; ready.'",
+        2: "'Condo 0.5 mile away, 10 foot ceiling, 6 inch trim. $5.5k reduced!'", 3: "'Listed $1,234,567 with ' || n || '500 square feet. and ' || z || ' thousand trees'",
+        4: "'Was $1,234k, yard 25m x 5 footx7 foot, 9 foot6 inch door'", 5: "'Lot 2.5 acres, pool 1 acres, 50 square meters deck, a/c, w/d, w/o hoa'"}),
+    "q_expand": (nm.expand_abbreviations, {
+        0: "z || ' bedroom 2 bathroom, ' || s || ' square feet, priced at ' || n || 'k. with garage.'", 3: "'Listed $1,234,567 with ' || n || ',500 square feet. and ' || z || ' thousand trees'",
+        5: "'Lot 2.5 acre, pool 1 acre, 50 sq m deck, air conditioning, washer dryer, without homeowners association'",
+        6: "'<p>Two&nbsp;story &lt;b&gt;home&lt;/b&gt; &quot;' || z || ' year&quot; R&amp;D</p>'", 9: "'Main dining room, 3br, w/garage, 401k'"}),
+    "q_norm_unicode": (nm.unicode_fold, {7: "'\"Nice\" 9' || q || ' porch - 21⁄2 baths ... near 12 oaks'"}),
+    "q_unescape": (nm.unescape, {
+        1: "'Luxury home $1.2m, 9' || q || ' ceilings, ' || z || '.5 acres. & ready.'", 6: "'<p>Two' || chr(160) || 'story <b>home</b> \"' || z || ' yr\" R&D</p>'"}),
+    "q_clean": (nm.clean_text, {
+        0: "z || ' bedroom 2 bathroom, ' || s || ' square feet, priced at ' || nk || '. with garage.'", 1: "'Luxury home $1200000, 9 foot ceilings, ' || z || '.5 acres. & ready.'",
+        2: "'Condo 0.5 mile away, 10 foot ceiling, 6 inch trim. $5500 reduced!'", 3: "'Listed $1234567 with ' || n || '500 square feet. and ' || zk || ' trees'",
+        4: "'Was $1,234000, yard 25000000 x 5 footx7 foot, 9 foot6 inch door'", 5: "'Lot 2.5 acres, pool 1 acres, 50 square meters deck, air conditioning, washer dryer, without homeowners association'",
+        6: "'Two' || chr(160) || 'story home \"' || z || ' year\" R&D'", 7: "'\"Nice\" 9 foot porch - 21⁄2 baths ... near 12 oaks'", 9: "'Main dining room, 3br, w/garage, 401000'"}),
+}
+for _name, (_step, _changed) in _STEPS.items():
+    _QUERIES[_name], _SQL[_name] = _on_listings(_step), _expected(_changed)
+
+
+@_query()
+def q_clean_pages(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", F.md5(nm.clean_text(F.col("html"))).alias("clean_md5"))
+
+
+_STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
+_PAIRS = f"""t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '{_WS}'), lambda w: regexp_full_match(w, '[a-z]+')) AS w FROM documents),
+p AS (SELECT doc_id, list_filter(list_zip(w[1:len(w) - 1], w[2:len(w)]), lambda x: x[1] NOT IN ({_STOPS}) AND x[2] NOT IN ({_STOPS})) AS x FROM t),
+b AS (SELECT doc_id, unnest(list_transform(x, lambda y: y[1] || ' ' || y[2])) AS term FROM p),
+c AS (SELECT term, count(*) AS n FROM b GROUP BY term)"""
+
+
+@_query(f"WITH {_PAIRS} SELECT term, n FROM c ORDER BY n DESC, term LIMIT 200")
+def q_top_bigrams(spark, sf_dir):
+    return ngrams.top_bigrams(_docs(spark, sf_dir), "text", 200, tokenizer="space")
+
+
+_TAXONOMY = "SELECT printf('T%04d', row_number() OVER (ORDER BY n DESC, term)) AS id, term, n AS count FROM c ORDER BY n DESC, term LIMIT 1000"
+
+
+@_query(f"WITH {_PAIRS} {_TAXONOMY}")
+def q_taxonomy(spark, sf_dir):
+    return ngrams.taxonomy(_docs(spark, sf_dir), "text", 1000, tokenizer="space")
+
+
+@_query(f"""WITH {_PAIRS}, terms AS ({_TAXONOMY}), s AS (SELECT coalesce(len(x), 0) AS k FROM p)
+SELECT (SELECT CAST(sum(n) AS BIGINT) FROM c WHERE term IN (SELECT term FROM terms)) AS hits, CAST(sum(k) AS BIGINT) AS bigrams, max(k) AS max_bigrams, avg(k) AS avg_bigrams,
+100.0 * (SELECT sum(n) FROM c WHERE term IN (SELECT term FROM terms)) / sum(k) AS coverage FROM s""")
+def q_coverage(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return ngrams.coverage(docs, "text", ngrams.taxonomy(docs, "text", 1000, tokenizer="space"), tokenizer="space")
+
+
+@_query()
+def q_top_bigrams_treebank(spark, sf_dir):
+    return ngrams.top_bigrams(_docs(spark, sf_dir), "text", 200, row_id="doc_id")
+
+
+@_query(f"SELECT original, cleaned FROM (SELECT id, {_duck(REMARKS)} AS original, {_duck(REMARKS, _STEPS['q_clean'][1])} AS cleaned {_FROM}) ORDER BY md5(id || '|42'), id LIMIT 10")
+def q_sample_compare(spark, sf_dir):
+    return sampling.sample_compare(_listings(spark, sf_dir), "remarks", 10, 42, key="id")
+
+
+_LISTING_TABLE = {"L_ListingID": "id", "L_Address": "concat('Lot ', id)", "L_City": "concat('City ', id % 7)", "L_Keyword2": "CAST(id % 6 + 1 AS INT)", "LM_Dec_3": "CAST(id % 4 AS DOUBLE)", "L_SystemPrice": "CAST(id * 1000 AS DOUBLE)", "L_Remarks": "remarks"}
+
+
+def _listing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listings(spark, sf_dir).selectExpr(*[f"{v} AS {k}" for k, v in _LISTING_TABLE.items()])
+
+
+@_query(f"""SELECT id AS "L_ListingID", concat('Lot ', id) AS "L_Address", concat('City ', id % 7) AS "L_City", CAST(id % 6 + 1 AS INT) AS beds, CAST(id % 4 AS DOUBLE) AS bath, CAST(id * 1000 AS DOUBLE) AS price, remarks
+FROM (SELECT id, {_duck(REMARKS)} AS remarks {_FROM}) WHERE strlen(remarks) > 50""")
+def q_extract(spark, sf_dir):
+    return extract_listings(_listing_table(spark, sf_dir), sample=None)
+
+
+@_query()
+def q_random_sample(spark, sf_dir):
+    return extract_listings(_listing_table(spark, sf_dir), sample=1000, seed=7)
+
+
+@_query()
+def q_profile(spark, sf_dir):
+    return profile.profile_column(_listings(spark, sf_dir), "remarks")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
