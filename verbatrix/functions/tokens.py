@@ -42,11 +42,11 @@ def tokens(text: Column, *, mode: str = "treebank", lowercase: bool = True, stri
 
 def bigrams(words: Column, stop_words=STOP_WORDS) -> Column:
     """Pairs of neighbours, joined by a space, neither of which is a stop word (stop words still part their neighbours)."""
-    stops = F.array(*[F.lit(w) for w in stop_words]).cast("array<string>")
+    stops = list(stop_words)
 
     def pairs(w: Column) -> Column:
         both = F.arrays_zip(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))).alias("a"), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("b"))
-        kept = F.filter(both, lambda p: ~F.array_contains(stops, p["a"]) & ~F.array_contains(stops, p["b"]))
+        kept = F.filter(both, lambda p: ~p["a"].isin(stops) & ~p["b"].isin(stops))
         return F.transform(kept, lambda p: F.concat_ws(" ", p["a"], p["b"]))
 
     return F.transform(F.array(words), pairs)[0]
