@@ -8,18 +8,53 @@ from functools import lru_cache
 
 import numpy as np
 
-# A space followed by white space, or white space at the end: there a cut before each space isn't a cut of the pre-tokenizer.
-_UNSAFE = re.compile(r" \s|\s\Z")
+_DOUBLE = re.compile(r" \s")
+# What most pieces are: letters, perhaps a mark, perhaps the first word of the next line.
+_SIMPLE = re.compile(r"([^\W\d_]+)([.,]?)(?:(\n)([^\W\d_]+)([.,]?))?")
 _LONGEST_WORD, _MOST_WORDS = 64, 600_000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies have for each byte: itself if it prints, else the next one from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def _cuts_at_spaces(text: str) -> bool:
+    """Whether every space stands before a word: elsewhere a cut before a space isn't a cut of the pre-tokenizer."""
+    if text[-1].isspace() or "  " in text or " \n" in text:
+        return False
+    return not _DOUBLE.search(text) if not text.isascii() else not any(" " + c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+
+
+class _Words(dict):
+    """Ids of pieces by the piece. When it is full it becomes the old half, from which pieces that come again return."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.pop(word, None)
+        if ids is None:
+            ids = self.make(word)
+        if len(word) <= _LONGEST_WORD:
+            if len(self) >= _MOST_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class CachedTokenizer:
     """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, as little-endian 32-bit bytes.
 
     Byte-level pre-tokenizers never join text across the gap between a word and a following space, so a text
-    cut before its single spaces has the ids of its pieces, and a piece met before costs a look-up. Texts in
-    which white space meets white space are encoded whole, and so are texts for tokenizers of other kinds. The
-    memory is bounded: after ``_MOST_WORDS`` pieces it starts anew. Strings of special tokens in a text are ordinary text.
+    cut before its single spaces has the ids of its pieces, and a piece met before costs a look-up. In a piece,
+    letters, a mark and a line end are pre-tokens of their own, and a run of letters goes to the library's model
+    by itself. Texts in which white space meets white space are encoded whole, and so are texts for tokenizers of
+    other kinds. The memory is bounded (twice ``_MOST_WORDS`` pieces). Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -28,32 +63,37 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.encode("a", add_special_tokens=False).ids == self.tokenizer.encode("a").ids
-        self.known: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.ids = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
+        self.known = _Words(self._piece)
+        sample = "Überall the_ 3 dogs, naïve.\nSo élan"
+        self.pieces = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self._encode(sample) == b"".join([self._encode("Überall"), *map(self._piece, sample.split(" ")[1:])])
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self._encode(" " + word)
-            if len(word) <= _LONGEST_WORD:
-                if len(self.known) >= _MOST_WORDS:
-                    self.known.clear()
-                self.known[word] = ids
-        return ids
+    def _run(self, letters: str) -> bytes:
+        """Ids of one pre-token."""
+        mapped = letters.replace(" ", "Ġ") if letters.isascii() and "\n" not in letters else letters.encode().decode("latin-1").translate(self.letters)
+        ids = self.ids
+        return b"".join([ids[t.id] for t in self.model.tokenize(mapped)])
+
+    def _piece(self, word: str) -> bytes:
+        m = _SIMPLE.fullmatch(word)
+        if not m or not m[1].isalpha() or m[4] and not m[4].isalpha():
+            return self._encode(" " + word)
+        if m[2] or m[3]:
+            first = self.known[m[1]] + (self._run(m[2]) if m[2] else b"")
+            return first + self._run(m[3]) + self._run(m[4]) + (self._run(m[5]) if m[5] else b"") if m[3] else first
+        return self._run(" " + word)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.pieces or _UNSAFE.search(text):
+        if not self.pieces or not _cuts_at_spaces(text):
             return self._encode(text)
         first, *words = text.split(" ")
-        try:
-            return self._encode(first) + b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            return self._encode(first) + b"".join(map(self._word, words))
+        return self._encode(first) + b"".join(map(self.known.__getitem__, words))
 
     def document(self, text: str | None, end_id: int) -> np.ndarray:
         return np.frombuffer(self.encode(text) + int(end_id).to_bytes(4, "little"), dtype="<u4")
