@@ -17,7 +17,7 @@ from .tokens import sentence_ends, tokenizer
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Costs in tokens: of a cut after a sentence, of one inside a sentence, of each sequence.
 SENTENCE, INSIDE, SEQUENCE = 2.0, 8.0, 4.0
-#: Where no sentence ends for GAP tokens, cuts are allowed after every STEP, and anywhere a full sequence after a place where one ends.
+#: Where no sentence ends for GAP tokens, cuts are allowed after every STEP, and a full sequence after the end of a document or of every fourth sentence.
 GAP, STEP = 64, 32
 
 
@@ -74,7 +74,8 @@ def candidates(ids: np.ndarray, ends: np.ndarray, may_end: np.ndarray, may_begin
     gaps = np.flatnonzero(np.diff(places) > GAP)
     if len(gaps):
         cost[np.concatenate([np.arange(places[g] + STEP, places[g + 1], STEP) for g in gaps])] = INSIDE
-    full = places[places + size < n] + size
+    some = np.union1d(places[::4], np.r_[0, ends])
+    full = some[some + size < n] + size
     cost[full] = np.minimum(cost[full], INSIDE)
     places = np.flatnonzero(np.isfinite(cost))
     return places, cost[places]
