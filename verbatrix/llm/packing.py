@@ -36,21 +36,28 @@ def cuts(places: np.ndarray, costs: np.ndarray, size: int) -> list[int]:
     at, cost, n = places.tolist(), costs.tolist(), len(places)
     best, back = [0.0] * n, [0] * n
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
-    index = {0: 0}
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k <= size]
+    later, earlier = [], []  # pairs of places a power of two apart
+    for w in (1 << k for k in range(size.bit_length())):
+        q = np.searchsorted(places, places - w)
+        hit = np.flatnonzero(places[q] == places - w)
+        later.append(hit)
+        earlier.append(q[hit])
+    order = np.argsort(np.concatenate(later), kind="stable")
+    later, earlier = [*np.concatenate(later)[order].tolist(), n], np.concatenate(earlier)[order].tolist()
+    pair = 0
     for i in range(1, n):
         p = at[i]
         while at[queue[0][1]] < p - size:
             queue.popleft()
         least, j = queue[0]
         least += size - p
-        for w in powers:
-            q = index.get(p - w)
-            if q is not None and best[q] < least:
+        while later[pair] == i:
+            q = earlier[pair]
+            if best[q] < least:
                 least, j = best[q], q
+            pair += 1
         best[i] = b = least + cost[i] + SEQUENCE
         back[i] = j
-        index[p] = i
         b += p
         while queue and queue[-1][0] >= b:
             queue.pop()
