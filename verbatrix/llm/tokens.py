@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 
+_ID = attrgetter("id")
 _DOUBLE = re.compile(r" \s")
-# What most pieces are: letters, perhaps a mark, perhaps the first word of the next line.
-_SIMPLE = re.compile(r"([^\W\d_]+)([.,]?)(?:(\n)([^\W\d_]+)([.,]?))?")
+# What most pieces are: letters, perhaps marks, perhaps the first word of the next line.
+_SIMPLE = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)(?:(\n[^\W\d_]+)([!-&(-/:-@\[-^`{-~]*))?")
 _LONGEST_WORD, _MOST_WORDS = 64, 600_000
 
 
@@ -52,7 +54,7 @@ class CachedTokenizer:
 
     Byte-level pre-tokenizers never join text across the gap between a word and a following space, so a text
     cut before its single spaces has the ids of its pieces, and a piece met before costs a look-up. In a piece,
-    letters, a mark and a line end are pre-tokens of their own, and a run of letters goes to the library's model
+    letters, marks and a line end are pre-tokens of their own, and a run of letters goes to the library's model
     by itself. Texts in which white space meets white space are encoded whole, and so are texts for tokenizers of
     other kinds. The memory is bounded (twice ``_MOST_WORDS`` pieces). Strings of special tokens in a text are ordinary text.
     """
@@ -65,6 +67,7 @@ class CachedTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.ids = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
+        self.mark = lru_cache(4096)(self._run)
         self.known = _Words(self._piece)
         sample = "Überall the_ 3 dogs, naïve.\nSo élan"
         self.pieces = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self._encode(sample) == b"".join([self._encode("Überall"), *map(self._piece, sample.split(" ")[1:])])
@@ -73,19 +76,21 @@ class CachedTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _run(self, letters: str) -> bytes:
-        """Ids of one pre-token."""
+        """Ids of one pre-token, which may begin with a space."""
         mapped = letters.replace(" ", "Ġ") if letters.isascii() and "\n" not in letters else letters.encode().decode("latin-1").translate(self.letters)
-        ids = self.ids
-        return b"".join([ids[t.id] for t in self.model.tokenize(mapped)])
+        return b"".join(map(self.ids.__getitem__, map(_ID, self.model.tokenize(mapped))))
 
     def _piece(self, word: str) -> bytes:
+        """Ids of a word after a space, or of a line end and the word after it: no space stands before a line end."""
+        if word.isalpha():
+            return self._run(" " + word)
+        if word[0] == "\n" and word[1:].isalpha():
+            return self.mark("\n") + self._run(word[1:])
         m = _SIMPLE.fullmatch(word)
-        if not m or not m[1].isalpha() or m[4] and not m[4].isalpha():
+        if not m or not m[1].isalpha() or m[3] and not m[3][1:].isalpha():
             return self._encode(" " + word)
-        if m[2] or m[3]:
-            first = self.known[m[1]] + (self._run(m[2]) if m[2] else b"")
-            return first + self._run(m[3]) + self._run(m[4]) + (self._run(m[5]) if m[5] else b"") if m[3] else first
-        return self._run(" " + word)
+        first = self.known[m[1]] + (self.mark(m[2]) if m[2] else b"")
+        return first + self.known[m[3]] + (self.mark(m[4]) if m[4] else b"") if m[3] else first
 
     def encode(self, text: str | None) -> bytes:
         if not text:
