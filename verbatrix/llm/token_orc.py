@@ -44,7 +44,7 @@ def write_token_orc(docs: DataFrame, path: str, *, tokenizer_path: str, key: str
     """
     ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     writer = ordered.mapInArrow(_ids(tokenizer_path, end_id), SCHEMA).write.format("orc").mode("errorifexists")
-    options = {"compression": "zstd", "orc.stripe.size": stripe_mb << 20, "orc.row.index.stride": row_index_stride, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01, "orc.create.index": "true"}
+    options = {"compression": "snappy", "orc.stripe.size": stripe_mb << 20, "orc.row.index.stride": row_index_stride, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01, "orc.create.index": "true"}
     writer.options(**{k: str(v) for k, v in options.items()}).save(path)
 
 
