@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,12 @@ def id_crc(col: str = "doc_id") -> Column:
 
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def scored_batches(batches: Iterator[pa.RecordBatch], own: list[str], inputs: list[str], score: Callable[..., np.ndarray], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """``own`` columns of each batch as they came, and ``score`` of the ``inputs``, of which ``rows`` at a time become Python values."""
+    for batch in batches:
+        values = [batch.column(c) for c in inputs]
+        parts = [score(*(v.slice(lo, rows).to_pylist() for v in values)) for lo in range(0, len(batch), rows)]
+        scores = pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), scores], [*own, "score"])

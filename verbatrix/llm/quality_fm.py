@@ -11,10 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import scored_batches
+
 HASHED = 1 << 14
+#: Words that a worker remembers.
+KNOWN = 200_000
 #: Of a byte: lower-case letter, upper-case letter, digit, white space, full stop or comma, other punctuation, other.
 _CLASS = np.array([0 if 97 <= b <= 122 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if b in b" \t\n\r\x0b\x0c" else 4 if b in b".," else 5 if 32 < b < 127 else 6 for b in range(256)], np.uint8)
 STATISTICS = ("upper", "digit", "space", "stop", "punctuation", "other", "word length", "distinct words", "top word", "repeated next word", "words a line", "distinct lines", "top line", "ends in a mark", "no letter", "log words", "n_chars", "n_chars against text", "one")
@@ -46,7 +51,7 @@ def features(text: str | None, n_chars: float | None, known: dict[str, int]) ->
     words = set(text.lower().split())
     new = words.difference(known)
     if new:
-        if len(known) > 1_000_000:
+        if len(known) > KNOWN:
             known.clear()
             new = words
         known.update((w, zlib.crc32(w.encode("utf-8", "replace")) % HASHED) for w in new)
@@ -137,18 +142,22 @@ def score_quality(docs: DataFrame, model: bytes | None, *, text: str = "text", n
     """
     own = [c for c in keep if c != score]
     schema = docs.select(*own).withColumn(score, F.lit(0.0)).schema
+    held = [f"__own{i}" for i in range(len(own))]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, known = pickle.loads(model) if model else None, {}
-        for f in frames:
-            out = np.full(len(f), 0.5)
-            for lo in range(0, len(f) if machine else 0, 256):
-                part = f.iloc[lo : lo + 256]
-                found = [features(t if isinstance(t, str) else None, n, known) for t, n in zip(part["__text"], part["__size"])]
-                starts = np.cumsum([0] + [len(i) for i, _ in found])[:-1]
-                margin, _ = machine.margin(np.concatenate([i for i, _ in found]), np.concatenate([v for _, v in found]), starts)
-                out[lo : lo + 256] = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-            yield f[own].assign(**{score: out})
+
+        def probability(texts: list[str | None], sizes: list[float | None]) -> np.ndarray:
+            if not machine:
+                return np.full(len(texts), 0.5)
+            found = [features(t, n, known) for t, n in zip(texts, sizes)]
+            starts = np.cumsum([0] + [len(i) for i, _ in found])[:-1]
+            margin, _ = machine.margin(np.concatenate([i for i, _ in found]), np.concatenate([v for _, v in found]), starts)
+            return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+
+        for batch in scored_batches(batches, held, ["__text", "__size"], probability):
+            yield batch.rename_columns(schema.names)
 
     size = F.col(n_chars).cast("double") if n_chars in docs.columns else F.lit(None).cast("double")
-    return docs.select(*own, F.col(text).alias("__text"), size.alias("__size")).mapInPandas(run, schema)
+    columns = [F.col(c).alias(h) for c, h in zip(own, held)]
+    return docs.select(*columns, F.col(text).alias("__text"), size.alias("__size")).mapInArrow(run, schema)

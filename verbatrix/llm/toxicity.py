@@ -8,11 +8,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality_fm import labelled_sample
+from .common import scored_batches
+from .quality_fm import KNOWN, labelled_sample
 
 ORDER, SPAN, DECAY, LETTERS, LONGEST = 4, 6, 0.6, 40, 40
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
@@ -103,7 +104,7 @@ class Scorer:
         """The largest margin among each text's sentences, which is the largest among their words; the least possible without words."""
         own = [runs(t) if t else set() for t in texts]
         new = list(set().union(*own).difference(self.known))
-        if len(self.known) + len(new) > 1_000_000:
+        if len(self.known) + len(new) > KNOWN:
             self.known.clear()
             new = list(set().union(*own))
         self.known.update(zip(new, self.words(new).tolist()))
@@ -233,12 +234,14 @@ def score_toxicity(docs: DataFrame, model: bytes | None, *, text: str = "text",
     own = [c for c in keep if c != score]
     schema = docs.select(*own).withColumn(score, F.lit(0.0)).schema
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = np.zeros(len(f))
-            for lo in range(0, len(f) if model else 0, 256):
-                some = [t if isinstance(t, str) else None for t in f["__text"].iloc[lo : lo + 256]]
-                out[lo : lo + 256] = _scorer(model).probability(_scorer(model).margins(some))
-            yield f[own].assign(**{score: out})
+    held = [f"__own{i}" for i in range(len(own))]
 
-    return docs.select(*own, F.col(text).alias("__text")).mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def probability(texts: list[str | None]) -> np.ndarray:
+            return _scorer(model).probability(_scorer(model).margins(texts)) if model else np.zeros(len(texts))
+
+        for batch in scored_batches(batches, held, ["__text"], probability):
+            yield batch.rename_columns(schema.names)
+
+    columns = [F.col(c).alias(h) for c, h in zip(own, held)]
+    return docs.select(*columns, F.col(text).alias("__text")).mapInArrow(run, schema)
