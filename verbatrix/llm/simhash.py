@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +39,14 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42, step: int =
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp): fp as a signed 64-bit integer."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            fp = np.array([fingerprint(t if isinstance(t, str) else None, shingle, seed) for t in f["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "fp": fp.view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.empty(len(batch), np.uint64)
+            for i, t in enumerate(batch.column("text")):
+                fp[i] = fingerprint(t.as_py(), shingle, seed)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def ball(bits: int, radius: int) -> np.ndarray:
@@ -131,7 +134,7 @@ def links_of_bucket(blobs: list[bytes], most: int, bits: int, radius: int) -> np
     return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.uint64)
 
 
-def fingerprint_links(fps: DataFrame, n: int, *, most: int = 4, bucket_mb: int = 16) -> DataFrame:
+def fingerprint_links(fps: DataFrame, n: int, *, most: int = 4, bucket_mb: int = 5) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fps`` (fp) at ``most`` bits or fewer, enough to connect each component.
 
     Two such fingerprints have a variant in common when each flips at most half of ``most`` bits. The variants are
@@ -143,7 +146,7 @@ def fingerprint_links(fps: DataFrame, n: int, *, most: int = 4, bucket_mb: int =
     radius = most // 2 + most % 2
     masks = sum(math.comb(bits, k) for k in range(radius + 1))
     buckets = max(1, min(1 << 15, n * masks * 3 // (bucket_mb << 20) + 1))
-    step = max(256, min(1 << 14, (1 << 22) // masks))
+    step = max(256, min(1 << 14, (1 << 21) // masks))
 
     def reduce(frame: pd.DataFrame) -> pd.DataFrame:
         pairs = links_of_bucket(list(frame["blob"]), most, bits, radius).view(np.int64)
