@@ -134,7 +134,7 @@ def links_of_bucket(blobs: list[bytes], most: int, bits: int, radius: int) -> np
     return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.uint64)
 
 
-def fingerprint_links(fps: DataFrame, n: int, *, most: int = 4, bucket_mb: int = 5) -> DataFrame:
+def fingerprint_links(fps: DataFrame, n: int, *, most: int = 4, bucket_mb: int = 8) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fps`` (fp) at ``most`` bits or fewer, enough to connect each component.
 
     Two such fingerprints have a variant in common when each flips at most half of ``most`` bits. The variants are
