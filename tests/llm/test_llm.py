@@ -335,6 +335,21 @@ def test_common_lines_are_longest():
         assert len(got) == best and re.search(".*".join(a[i] for i in got), b)
 
 
+def test_common_lines_are_longest_at_every_size():
+    rng = np.random.default_rng(15)
+    for n, kinds in ((2400, 40), (2400, 1000)):
+        a, b = ([str(x) for x in rng.integers(0, kinds, n)] for _ in range(2))
+        a[700], b[1900] = "once", "once"  # an anchor that crosses the best alignment
+        best = np.zeros(n + 1, np.int64)
+        other = np.array(b)
+        for t in a:  # one row of the table at a time
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(other == t, best[:-1] + 1, 0)))
+        got = common_lines(a, b)
+        assert len(got) == best[-1]
+        rest = iter(b)
+        assert got == sorted(set(got)) and all(a[i] in rest for i in got)
+
+
 PAGE = "<html><head><title>T</title><style>p{}</style></head><body><nav><a>Home</a></nav><div>Site &amp; name</div><div class='ad'>Buy</div>%s<div>All rights</div><footer>(c)</footer><script>var a='</p>';</script></body>"
 
 

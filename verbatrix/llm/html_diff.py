@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -123,11 +124,19 @@ def lines_of(page: str | None) -> list[Line]:
     return out
 
 
+def _bits(places: list[int], size: int) -> int:
+    out = bytearray(size // 8 + 1)
+    for p in places:
+        out[p >> 3] |= 1 << (p & 7)
+    return int.from_bytes(out, "little")
+
+
 def common_lines(a: list[str], b: list[str]) -> list[int]:
-    """Indices of ``a`` in a longest common subsequence of two line lists: common ends first, then the table of the rest.
+    """Indices of ``a`` in a longest common subsequence of two line lists, at every size.
 
-    For what is left of very long pages (over 4 million cells) lines that occur once in each are aligned first, so the
-    table is only filled between them.
+    Common ends are taken first. A row of the table of the rest is an integer with a bit for each line of ``b``, 0 where
+    the length grows; a row follows from the one below by one addition (Hyyrö). About every sqrt(n)th row is kept and
+    those between are made again on the way back, so memory is sqrt(n) * m bits and time n * m by the word.
     """
     lo = 0
     while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
@@ -138,29 +147,48 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
     kept = [*range(lo), *range(len(a) - hi, len(a))]
     both = set(a[lo : len(a) - hi]) & set(b[lo : len(b) - hi])
     x = [i for i in range(lo, len(a) - hi) if a[i] in both]
-    y = [j for j in range(lo, len(b) - hi) if b[j] in both]
-    if len(x) * len(y) > 4_000_000:
-        once = {t: [i for i in x if a[i] == t] for t in both if sum(a[i] == t for i in x) == 1 and sum(b[j] == t for j in y) == 1} if len(x) + len(y) < 20_000 else {}
-        if not once:
-            return sorted(kept + x)  # every line here is in both pages
-        anchor = sorted(i[0] for i in once.values())[len(once) // 2]
-        other = next(j for j in y if b[j] == a[anchor])
-        left, right = common_lines(a[lo:anchor], b[lo:other]), common_lines(a[anchor + 1 : len(a) - hi], b[other + 1 : len(b) - hi])
-        return sorted(kept + [lo + i for i in left] + [anchor] + [anchor + 1 + i for i in right])
-    rows = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below, t = rows[i], rows[i + 1], a[x[i]]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if t == b[y[j]] else max(below[j], row[j + 1])
-    i = j = 0
-    while i < len(x) and j < len(y):
-        if a[x[i]] == b[y[j]]:
-            kept.append(x[i])
-            i, j = i + 1, j + 1
-        elif rows[i + 1][j] >= rows[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+    y = [t for t in b[lo : len(b) - hi] if t in both]
+    n, m = len(x), len(y)
+    places: dict[str, list[int]] = {}
+    for j, t in enumerate(y):
+        places.setdefault(t, []).append(m - 1 - j)
+    masks = {t: _bits(p, m) for t, p in places.items() if 64 * len(p) >= m}  # at most 64; the others are quick to make
+    full, step = (1 << m) - 1, math.isqrt(n) + 1
+
+    def rows(start: int, end: int, row: int) -> Iterator[int]:
+        """Rows end - 1 to start, from row ``end``."""
+        for i in range(end - 1, start - 1, -1):
+            t = a[x[i]]
+            hit = row & (masks[t] if t in masks else _bits(places[t], m))
+            row = ((row + hit) | (row - hit)) & full
+            yield row
+
+    stored, row = {n: full}, full
+    for i, row in zip(range(n - 1, -1, -1), rows(0, n, full)):
+        if i % step == 0:
+            stored[i] = row
+    j, length = 0, m - row.bit_count()  # length: of the best from line i and line j on
+    for start in range(0, n, step):
+        end = min(start + step, n)
+        block = [*rows(start, end, stored[end])][::-1] + [stored[end]]
+        for i in range(start, end):
+            if j == m:
+                break
+            here, below = (block[k - start].to_bytes(m // 8 + 1, "little") for k in (i, i + 1))
+            left = m - j
+            under = left - (block[i + 1 - start] & ((1 << left) - 1)).bit_count()
+            while j < m and a[x[i]] != y[j]:
+                p = m - 1 - j
+                right = length - (~here[p >> 3] >> (p & 7) & 1)
+                if under >= right:
+                    break
+                length, under, j = right, under - (~below[p >> 3] >> (p & 7) & 1), j + 1
+            if j < m and a[x[i]] == y[j]:
+                p = m - 1 - j
+                kept.append(x[i])
+                length, j = under - (~below[p >> 3] >> (p & 7) & 1), j + 1
+            else:
+                length = under
     return sorted(kept)
 
 
