@@ -366,6 +366,45 @@ def test_html(spark):
     assert html.unescape("&amp;") == "&"
 
 
+def plain_page(lines):
+    return "".join(f"<div>{x}</div>" for x in lines)
+
+
+SITE = [f"Template line {i} of this site, in which nothing is marked" for i in range(12)]
+
+
+def test_html_looks_past_copies(spark):
+    stories = [f"The story of {w} is told here: {w} grew tall, and {w} was cut in the end, as all {w} are" for w in WORDS]
+    pages = [plain_page([*SITE, f"Copy {i}", *[f"{s}, chapter {k}" for k, s in enumerate(stories[:12])]]) for i in range(40)]  # near copies of one story
+    rows = [(i, f"http://h.org/b/{i:03}", p) for i, p in enumerate(pages)]
+    rows += [(100, "http://h.org/a", plain_page([*SITE, stories[15]])), (101, "http://h.org/c", plain_page([*SITE, stories[16]]))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    got = {r.page_id: r.text for r in extract_main_text(df).collect()}
+    assert all(SITE[3] not in t for t in got.values()) and got[100] == stories[15] and got[101] == stories[16]
+    assert all(got[i].startswith(f"Copy {i}\n") and got[i].count("chapter") == 12 for i in range(40))
+
+
+def test_html_tells_short_articles_from_copies():
+    long = [f"{x} or elsewhere on the many sites that our company runs" for x in SITE]
+    a, b = ["Cats sleep most of the day and hunt mice and small birds by night"], ["Stock prices fell sharply on Monday morning, as brokers told us today"]
+    of = lambda own: lines_of(plain_page([*long, *own]))
+    assert main_text(of(a), [of(b)]) == a[0]
+    assert main_text(of([*a, "12 May 10:31"]), [of([*a, "3 June 9:05"])]).startswith(long[0])  # a copy with another date
+    assert main_text(of(a), [of(a)]).startswith(long[0])
+
+
+def test_waiting_pages_go_to_a_file(monkeypatch):
+    from verbatrix.llm import html_diff
+
+    monkeypatch.setattr(html_diff, "HELD", 5_000)
+    sweep, got = html_diff.Sweep(), []
+    for i in range(50):
+        got += sweep.page((i,), "h", lines_of(plain_page([*SITE, "one and the same story, " * 9])))
+    assert not got and sweep.held.file
+    got += [*sweep.page((50,), "h", lines_of(plain_page([*SITE, "another story altogether, " * 9]))), *sweep.end()]
+    assert sorted(i for i, _ in got) == list(range(51)) and not any(SITE[0] in t for _, t in got)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

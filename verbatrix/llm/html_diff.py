@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import html
 import math
+import pickle
 import re
-from collections import deque
-from collections.abc import Iterator
+import tempfile
+from collections import Counter, deque
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -192,39 +194,164 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
     return sorted(kept)
 
 
+#: Letters that each of two pages must have and the other lack, so that they aren't copies though they share nine tenths.
+OWN_LETTERS = 40
+#: Runs of copies looked at on either side of a page, and letters of waiting pages held in memory.
+LOOK, HELD = 4, 16_000_000
+
+
+def _letters(lines: Iterable[str]) -> int:
+    return sum(map(len, lines))
+
+
+def _both_differ(a: list[str], b: list[str], same: list[int]) -> bool:
+    """Whether each page has text that the other lacks, rather than other versions of the same lines."""
+    shared = Counter(a[i] for i in same)
+    mine, theirs = (Counter(w for t in (Counter(x) - shared).elements() for w in t.split()) for x in (a, b))
+    own = [_letters(x.elements()) for x in (mine - theirs, theirs - mine)]
+    return min(own) >= OWN_LETTERS and _letters((mine & theirs).elements()) < min(own)
+
+
+def template_lines(own: list[str], other: list[str]) -> set[int] | None:
+    """Indices of ``own`` that another page shares; None if that is a copy, which says nothing about the template.
+
+    A copy shares nine tenths of the text, and not both pages have at least OWN_LETTERS of text that the other lacks:
+    a short article in a large template has, and so has the page next to it.
+    """
+    same = common_lines(own, other)
+    if _letters(own[i] for i in same) < 0.9 * _letters(own) or _both_differ(own, other, same):
+        return set(same)
+    return None
+
+
+def same_run(a: list[str], b: list[str]) -> bool:
+    """Whether two adjacent pages are copies of one another."""
+    if a == b:
+        return True
+    least, some = 0.9 * max(_letters(a), _letters(b)), set(b)
+    if _letters(t for t in a if t in some) < least:  # no need to align
+        return False
+    same = common_lines(a, b)
+    return _letters(a[i] for i in same) >= least and not _both_differ(a, b, same)
+
+
+def _text_without(page: list[Line], shared: set[int]) -> str:
+    safe = {i for i, x in enumerate(page) if x.article and x.prose}
+    kept = [i for i in range(len(page)) if i in safe or i not in shared]
+    if any(page[i].article for i in kept):
+        kept = [i for i in kept if page[i].article]
+    return "\n\n".join(page[i].text for i in kept)
+
+
 def main_text(page: list[Line], neighbours: list[list[Line]]) -> str:
     """The lines that no neighbour shares, in page order.
 
     Prose of a declared article stays even if shared, as articles quote one another; where an article is declared
-    and has text, unshared lines outside it are dropped too. A neighbour that shares nine tenths of a page's text
-    is a copy of it and says nothing about the template, so it isn't used.
+    and has text, unshared lines outside it are dropped too. A neighbour that is a copy (:func:`template_lines`)
+    isn't used.
     """
     own = [x.text for x in page]
-    size = sum(map(len, own))
-    safe = {i for i, x in enumerate(page) if x.article and x.prose}
     shared: set[int] = set()
-    for other in neighbours:
-        if len(safe) == len(page):
-            break
-        same = common_lines(own, [x.text for x in other])
-        if sum(len(own[i]) for i in same) < 0.9 * size:
-            shared.update(same)
-    kept = [i for i in range(len(page)) if i in safe or i not in shared]
-    if any(page[i].article for i in kept):
-        kept = [i for i in kept if page[i].article]
-    return "\n\n".join(own[i] for i in kept)
+    if not all(x.article and x.prose for x in page):
+        for other in neighbours:
+            shared |= template_lines(own, [x.text for x in other]) or set()
+    return _text_without(page, shared)
+
+
+class _Waiting(NamedTuple):
+    row: tuple
+    page: list[Line]
+    shared: set[int]
+    looks: int  # runs after it that it may still be compared with
+
+
+class _Held:
+    """Pages that wait for one that differs. Beyond HELD letters they go to a file of the task's own."""
+
+    def __init__(self) -> None:
+        self.pages: list[_Waiting] = []
+        self.size, self.file = 0, None
+
+    def add(self, page: _Waiting) -> None:
+        self.pages.append(page)
+        self.size += 300 + sum(len(x.text) + 150 for x in page.page)
+        if self.size > HELD:
+            self.file = self.file or tempfile.TemporaryFile()
+            pickle.dump(self.pages, self.file, 5)
+            self.pages, self.size = [], 0
+
+    def drain(self) -> Iterator[_Waiting]:
+        if self.file:
+            self.file.seek(0)
+            while True:
+                try:
+                    yield from pickle.load(self.file)
+                except EOFError:
+                    break
+            self.file.close()
+        yield from self.pages
+
+
+class Sweep:
+    """Pages in the order of their URLs, each given out with its main text as soon as both sides are known.
+
+    Adjacent copies form a run. A page is compared with the nearest page outside its run on either side, and if that
+    is a copy of it for its part (the page is all template, say), with that of the run beyond, LOOK runs in all.
+    """
+
+    def __init__(self) -> None:
+        self.host: str | None = None
+        self.last: list[str] | None = None  # the page before
+        self.runs: deque[list[str]] = deque(maxlen=LOOK)  # the last pages of the runs before that one's, nearest first
+        self.held = _Held()
+
+    def begin(self, host: str | None, lines: list[str]) -> Iterator[tuple]:
+        """Moves to the next page."""
+        if host != self.host or self.last is None:
+            yield from self.end()
+            self.host, self.last = host, None
+            self.runs.clear()
+        elif not same_run(self.last, lines):
+            self.runs.appendleft(self.last)
+            held, self.held = self.held, _Held()
+            for w in held.drain():
+                got = template_lines([x.text for x in w.page], lines)
+                if got is None and w.looks > 1:
+                    self.held.add(w._replace(looks=w.looks - 1))
+                else:
+                    yield (*w.row, _text_without(w.page, w.shared | (got or set())))
+        self.last = lines
+
+    def page(self, row: tuple, host: str | None, page: list[Line]) -> Iterator[tuple]:
+        """Takes a page; a page without lines is nobody's neighbour."""
+        if not page:
+            yield (*row, "")
+            return
+        lines = [x.text for x in page]
+        yield from self.begin(host, lines)
+        if all(x.article and x.prose for x in page):
+            yield (*row, _text_without(page, set()))
+            return
+        before = next((got for r in self.runs if (got := template_lines(lines, r)) is not None), set())
+        self.held.add(_Waiting(row, page, before, LOOK))
+
+    def end(self) -> Iterator[tuple]:
+        """Gives out what has no page after it that differs."""
+        held, self.held = self.held, _Held()
+        for w in held.drain():
+            yield (*w.row, _text_without(w.page, w.shared))
 
 
 def extract_main_text(pages: DataFrame, *, url: str = "url", page: str = "html", keep: tuple[str, ...] = ("page_id", "url"), out: str = "text") -> DataFrame:
     """``keep`` and ``out``, the main text of each whole page: blocks joined by two line ends, '' if there are none.
 
     Pages are sorted by host and path over ranges of any host (a large host takes many ranges), and each is compared
-    with the page before and after it there, if of the same host; at the ends of a range with the one it has. A
-    task holds three pages at a time.
+    with the nearest page before and after it there that is of the same host and no copy of it (:class:`Sweep`); at
+    the ends of a range with the one it has. Copies wait for the page after them, in a file if they are many.
 
-    Null pages and pages without text give ''; null urls have an empty host and are one another's neighbours;
-    repeated rows stay; an empty table gives an empty result; broken markup is read as far as it goes; a column of
-    ``keep`` named like ``out`` is replaced.
+    Null pages and pages without text give '' and are nobody's neighbours; null urls have an empty host and are one
+    another's neighbours; repeated rows stay; an empty table gives an empty result; broken markup is read as far as it
+    goes; a column of ``keep`` named like ``out`` is replaced.
     """
     own = [c for c in keep if c != out]
     schema = pages.select(*own).withColumn(out, F.lit("").cast("string")).schema
@@ -232,27 +359,19 @@ def extract_main_text(pages: DataFrame, *, url: str = "url", page: str = "html",
     sorted_ = rows.withColumn("__tie", F.xxhash64(*own, "__page")).repartitionByRange("__host", "__path", "__tie").sortWithinPartitions("__host", "__path", "__tie")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: deque = deque()  # the page before, and the one to give out next: (row, host, lines)
-
-        def give(after) -> tuple:
-            row, host, lines = held[-1]
-            near = [x[2] for x in ([held[0]] if len(held) > 1 else []) + ([after] if after else []) if x[1] == host]
-            return (*row, main_text(lines, near))
-
-        done: list[tuple] = []
-        for f in frames:
-            for row in f[[*own, "__host", "__page"]].itertuples(index=False, name=None):
-                now = (row[:-2], row[-2], lines_of(row[-1] if isinstance(row[-1], str) else None))
-                if held:
-                    done.append(give(now))
-                held.append(now)
-                if len(held) > 2:
-                    held.popleft()
-                if len(done) >= 256:
-                    yield pd.DataFrame(done, columns=[*own, out])
-                    done = []
-        if held:
-            done.append(give(None))
+        sweep, done = Sweep(), []
+
+        def results() -> Iterator[tuple]:
+            for f in frames:
+                for row in f[[*own, "__host", "__page"]].itertuples(index=False, name=None):
+                    yield from sweep.page(row[:-2], row[-2], lines_of(row[-1] if isinstance(row[-1], str) else None))
+            yield from sweep.end()
+
+        for row in results():
+            done.append(row)
+            if len(done) >= 256:
+                yield pd.DataFrame(done, columns=[*own, out])
+                done = []
         if done:
             yield pd.DataFrame(done, columns=[*own, out])
 
