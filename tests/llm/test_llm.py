@@ -384,6 +384,28 @@ def test_html_looks_past_copies(spark):
     assert all(got[i].startswith(f"Copy {i}\n") and got[i].count("chapter") == 12 for i in range(40))
 
 
+def test_html_does_not_depend_on_the_ranges(spark):
+    rows = []
+    for i in range(61):
+        host = f"h{i % 3}.org" if i % 4 else f"small{i // 8}.org"  # three large hosts and small ones of two pages
+        copied = 5 <= i < 45 and i % 4 and i % 3 == 1
+        story = "A story that many pages of this host tell in one and the same way" if copied else " ".join(f"{w}{i}" for w in WORDS[i % 8 :])
+        rows.append((None if i == 9 else i, f"http://{host}/{i:03}", plain_page([f"{x} {host}" for x in SITE] + [story])))
+    rows.append((99, "http://h1.org/030x", ""))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    held, texts = spark.conf.get("spark.sql.shuffle.partitions"), []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in (1, 2, 7, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            texts.append(sorted((r.url, r.page_id or -1, r.text) for r in extract_main_text(df).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert texts[0] == texts[1] == texts[2] == texts[3] and len(texts[0]) == len(rows)
+    assert [u for u, _, t in texts[0] if SITE[0] in t] == []
+
+
 def test_html_tells_short_articles_from_copies():
     long = [f"{x} or elsewhere on the many sites that our company runs" for x in SITE]
     a, b = ["Cats sleep most of the day and hunt mice and small birds by night"], ["Stock prices fell sharply on Monday morning, as brokers told us today"]

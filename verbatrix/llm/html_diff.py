@@ -7,14 +7,18 @@ import math
 import pickle
 import re
 import tempfile
+import zlib
 from collections import Counter, deque
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pinned
 from .url_rules import url_host, url_path
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -342,12 +346,98 @@ class Sweep:
             yield (*w.row, _text_without(w.page, w.shared))
 
 
+class Edge(NamedTuple):
+    """What the ranges around need of a range: the ends of its first and last host's runs."""
+
+    first: str
+    heads: list[list[str]]  # the first page of each of the first host's runs, LOOK + 1 at most
+    whole: bool  # the range has one host only
+    host: str
+    last: list[str]
+    runs: list[list[str]]  # as in Sweep
+
+
+def edge_of(pages: Iterable[tuple[str, list[Line]]]) -> Edge | None:
+    first = host = last = None
+    heads: list[list[str]] = []
+    runs: deque[list[str]] = deque(maxlen=LOOK)
+    whole = True
+    for now, page in pages:
+        if not page:
+            continue
+        lines = [x.text for x in page]
+        if last is None:
+            first, heads = now, [lines]
+        elif now != host:
+            whole = False
+            runs.clear()
+        elif not same_run(last, lines):
+            runs.appendleft(last)
+            if whole and len(heads) <= LOOK:
+                heads.append(lines)
+        host, last = now, lines
+    return None if last is None else Edge(first, heads, whole, host, last, [*runs])
+
+
+def around(edges: dict[int, Edge]) -> dict[int, tuple]:
+    """By range: (last, runs) of the host it begins in, from before it, and the heads of the host it ends in, from after it; None where there are none."""
+    before, after = {}, {}
+    host, last, runs = None, None, []
+    for r in sorted(edges):
+        e = edges[r]
+        if last is not None and host == e.first:
+            before[r] = last, runs
+            if e.whole:
+                runs = [*e.runs, *([] if same_run(last, e.heads[0]) else [last]), *runs][:LOOK]
+            else:
+                runs = e.runs
+        else:
+            runs = e.runs
+        host, last = e.host, e.last
+    host, heads = None, []
+    for r in sorted(edges, reverse=True):
+        e = edges[r]
+        if heads and host == e.host:
+            after[r] = heads
+            heads = [*e.heads, *heads[same_run(e.last, heads[0]) :]][: LOOK + 1] if e.whole else e.heads
+        else:
+            heads = e.heads
+        host = e.first
+    return {r: (before.get(r), after.get(r)) for r in before.keys() | after.keys()}
+
+
+def _pack(x) -> bytes:
+    return zlib.compress(pickle.dumps(x, 5), 1)
+
+
+def _unpack(x: bytes):
+    return pickle.loads(zlib.decompress(x))
+
+
+def _pack_lines(page: list[Line]) -> bytes:
+    """A text line each (they hold no line ends), and a last one of a digit each."""
+    text = "\n".join([*(x.text for x in page), "".join(str(2 * x.article + x.prose) for x in page)])
+    return zlib.compress(text.encode("utf-8", "surrogatepass"), 6)
+
+
+def _unpack_lines(blob: bytes) -> list[Line]:
+    *lines, marks = zlib.decompress(blob).decode("utf-8", "surrogatepass").split("\n")
+    return [Line(t, m in "23", m in "13") for t, m in zip(lines, marks, strict=True)]
+
+
+def _pages(batch: pa.RecordBatch) -> Iterator[tuple[str, list[Line]]]:
+    for host, blob in zip(batch.column("__host"), batch.column("__lines"), strict=True):
+        yield host.as_py(), _unpack_lines(blob.as_py())
+
+
 def extract_main_text(pages: DataFrame, *, url: str = "url", page: str = "html", keep: tuple[str, ...] = ("page_id", "url"), out: str = "text") -> DataFrame:
     """``keep`` and ``out``, the main text of each whole page: blocks joined by two line ends, '' if there are none.
 
-    Pages are sorted by host and path over ranges of any host (a large host takes many ranges), and each is compared
-    with the nearest page before and after it there that is of the same host and no copy of it (:class:`Sweep`); at
-    the ends of a range with the one it has. Copies wait for the page after them, in a file if they are many.
+    Pages are read to lines and sorted by host and path over ranges of any host (a large host takes many ranges).
+    Each is compared with the nearest page before and after it that is of the same host and no copy of it
+    (:class:`Sweep`). Every range is handed the ends of the runs around it (at most 2 * LOOK + 2 pages, by way of the
+    driver, and only where a host crosses its edge), so the texts don't depend on the number of ranges. Copies wait
+    for the page after them, in a file if they are many.
 
     Null pages and pages without text give '' and are nobody's neighbours; null urls have an empty host and are one
     another's neighbours; repeated rows stay; an empty table gives an empty result; broken markup is read as far as it
@@ -355,24 +445,55 @@ def extract_main_text(pages: DataFrame, *, url: str = "url", page: str = "html",
     """
     own = [c for c in keep if c != out]
     schema = pages.select(*own).withColumn(out, F.lit("").cast("string")).schema
-    rows = pages.select(*own, F.col(page).alias("__page"), url_host(F.col(url)).alias("__host"), url_path(F.col(url)).alias("__path"))
-    sorted_ = rows.withColumn("__tie", F.xxhash64(*own, "__page")).repartitionByRange("__host", "__path", "__tie").sortWithinPartitions("__host", "__path", "__tie")
+    keys = ("__host", "__path", "__tie")
+    rows = pages.select(*own, F.col(page).alias("__lines"), url_host(F.col(url)).alias("__host"), url_path(F.col(url)).alias("__path"))
+    rows = rows.withColumn("__tie", F.xxhash64(*own, "__lines"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("__lines")
+            lines = pa.array([_pack_lines(lines_of(p.as_py())) for p in batch.column(at)], pa.binary())
+            yield batch.set_column(at, pa.field("__lines", pa.binary()), lines)
+
+    # not pinned before it is sorted: reading pages twice, as ranges are sampled, costs less than another copy on disk
+    parsed = rows.mapInArrow(read, rows.withColumn("__lines", F.lit(b"")).schema)
+    ranges = pinned(parsed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__path", "__tie"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sweep, done = Sweep(), []
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edge = edge_of(x for batch in batches for x in _pages(batch))
+        if edge:
+            yield pa.RecordBatch.from_pydict({"range": pa.array([TaskContext.get().partitionId()], pa.int32()), "edge": [_pack(tuple(edge))]})
+
+    met = ranges.select("__host", "__lines").mapInArrow(edges, "range int, edge binary").collect()
+    context = {r: _pack(x) for r, x in around({r.range: Edge(*_unpack(bytes(r.edge))) for r in met}).items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, sweep, fields = TaskContext.get().partitionId(), Sweep(), []
+        before, after = _unpack(context[r]) if r in context else (None, None)
 
         def results() -> Iterator[tuple]:
-            for f in frames:
-                for row in f[[*own, "__host", "__page"]].itertuples(index=False, name=None):
-                    yield from sweep.page(row[:-2], row[-2], lines_of(row[-1] if isinstance(row[-1], str) else None))
+            started = before is None
+            for batch in batches:
+                fields[:] = [batch.schema.field(c) for c in own] + [pa.field(out, pa.string())]
+                for values, (host, page) in zip(zip(*(batch.column(c) for c in own)) if own else repeat(()), _pages(batch)):
+                    if page and not started:
+                        sweep.host, sweep.last, started = host, before[0], True
+                        sweep.runs.extend(before[1])
+                    yield from sweep.page(tuple(v.as_py() for v in values), host, page)
+            for head in after or []:
+                yield from sweep.begin(sweep.host, head)
             yield from sweep.end()
 
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=pa.schema(fields))
+
+        done: list[tuple] = []
         for row in results():
             done.append(row)
             if len(done) >= 256:
-                yield pd.DataFrame(done, columns=[*own, out])
+                yield batch_of(done)
                 done = []
         if done:
-            yield pd.DataFrame(done, columns=[*own, out])
+            yield batch_of(done)
 
-    return sorted_.drop("__path", "__tie").mapInPandas(run, schema)
+    return ranges.mapInArrow(run, schema)
