@@ -16,7 +16,7 @@ from verbatrix.llm.components import connected_components
 from verbatrix.llm.embed_dedup import Quantised, near_duplicate_vectors
 from verbatrix.llm.html_diff import common_lines, extract_main_text, lines_of, main_text
 from verbatrix.llm.kd_topk import top_products
-from verbatrix.llm.mixing import mix_sources, pfair, shares
+from verbatrix.llm.mixing import mix_sources, pfair, schedule, shares
 from verbatrix.llm.packing import cuts, pack_documents, padding
 from verbatrix.llm.quality_fm import FactorisationMachine, score_quality, train_quality
 from verbatrix.llm.simhash import ball, fingerprint, fingerprint_links, simhash_groups
@@ -92,6 +92,21 @@ def test_mixing(spark, docs):
     assert dict(clash.dtypes)["mix_slot"] == "bigint" and clash.count() == docs.count()
 
 
+def test_mixing_keeps_to_the_exact_weights():
+    sizes = {f"s{i:02}": 64_000 if i else 640_000 for i in range(20)} | {"tiny": 64, "none": 130}
+    weights = {s: n**0.5 for s, n in sizes.items()} | {"tiny": 1e-9, "none": 0.0}
+    plan, short = schedule(sizes, weights, 64)
+    total = sum(weights.values())
+    first = min(p[0][-1] for p in plan.values()) + 1  # the first phase ends with the source that ends first
+    assert first > 4 * 2048
+    for s, (slots, releases, deadlines) in plan.items():
+        own = np.searchsorted(np.array(slots), np.arange(first + 1))
+        assert np.abs(own - weights[s] / total * np.arange(first + 1)).max() < 1 + 1e-6
+        assert all(r <= t < d for t, r, d in zip(slots, releases, deadlines))
+    assert sorted(t for p in plan.values() for t in p[0]) == list(range(sum(-(-n // 64) for n in sizes.values())))
+    assert min(plan["none"][0]) > max(p[0][-1] for s, p in plan.items() if s != "none") and short == [(plan["none"][0][-1], 62)]
+
+
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("node", T.StringType())])
 
 
