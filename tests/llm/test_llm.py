@@ -21,7 +21,7 @@ from verbatrix.llm.packing import cuts, pack_documents, padding
 from verbatrix.llm.quality_fm import FactorisationMachine, score_quality, train_quality
 from verbatrix.llm.simhash import ball, fingerprint, fingerprint_links, simhash_groups
 from verbatrix.llm.token_orc import read_tokens, token_digests, write_token_orc
-from verbatrix.llm.toxicity import runs, score_toxicity, subsequences, train_toxicity
+from verbatrix.llm.toxicity import joins, runs, score_toxicity, subsequences, train_toxicity
 from verbatrix.llm.url_rules import judge_urls
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -320,6 +320,26 @@ def test_subsequences_are_all_of_a_word():
     assert {"idiot"} == runs("i.d.i.o.t") and "idiot" in runs("you i d i o t!") and runs(" ") == set()
 
 
+def test_joins_are_scored_like_words():
+    rng = np.random.default_rng(17)
+    table = rng.normal(size=40**4).astype(np.float32)
+    docs = [["id", "iot"], ["a"], [], ["a", "b", "c"], [rng.choice(WORDS) + "é" * int(rng.integers(3)) for _ in range(30)], ["x" * 60, "y" * 50, "z"]]
+    seen = 0
+    for got, whose, s, e, flat in joins(table, docs):
+        codes, weights = subsequences([flat[i:j] for i, j in zip(s, e)])
+        assert np.allclose(got, (table[codes] * weights).sum(1), atol=1e-3)
+        assert all(len(w) > 40 or w in "".join(docs[d]) for d, w in zip(whose, (flat[i:j] for i, j in zip(s, e))))
+        seen += len(got)
+    assert seen == 1 + 2 + 1 + 29 + 28 + 2 + 1
+
+
+def test_toxicity_crosses_white_space(spark):
+    train, labels = labelled(spark, np.random.default_rng(9))
+    texts = ["oak blo ckhead maple", "oak block\nhead maple", "oak bl ockh ead maple", "oak quince maple spruce teak", "elm fir oak"]
+    got = score_toxicity(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]), train_toxicity(train, labels, F.lit(True))).collect()
+    assert [r.score >= 0.5 for r in sorted(got, key=lambda r: r.doc_id)] == [True, True, True, False, False]
+
+
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "b.example.net", ""), ("block", "org", "/es/")]
 
 

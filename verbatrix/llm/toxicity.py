@@ -16,6 +16,8 @@ from .common import scored_batches
 from .quality_fm import KNOWN, labelled_sample
 
 ORDER, SPAN, DECAY, LETTERS, LONGEST = 4, 6, 0.6, 40, 40
+#: As many adjacent words are also compared as one, without the white space between them.
+JOINED = 3
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _SPELT = re.compile(r"(?<!\w)\w(?:[\W_]{1,3}\w){2,}(?!\w)")
 #: Fixed: digits and marks that stand for letters.
@@ -33,23 +35,98 @@ class _Table(dict):
         return self[c]
 
 
-_KEEP = _Table()
+class _Spaced(_Table):
+    """The same, but white space stays."""
+
+    def __missing__(self, c: int):
+        x = super().__missing__(c)
+        self[c] = x = chr(c) if chr(c).isspace() else x
+        return x
+
+
+_KEEP, _SPACED = _Table(), _Spaced()
 
 
 def _code(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % (LETTERS - 27)
 
 
-def runs(sentence: str) -> set[str]:
-    """What of a sentence is compared: its words, lower-cased, without marks between letters, and letters spelt one by one, joined."""
+def words_of(low: str) -> list[str]:
+    """The words of a lower-cased text in order, without marks between letters; those without letters are left out."""
+    return low.translate(_SPACED).split()
+
+
+def runs(sentence: str, words: list[str] | None = None) -> set[str]:
+    """What of a sentence is compared by itself: its words, lower-cased, without marks between letters, and letters spelt one by one, joined."""
     low = sentence.lower()
-    out = {w.translate(_KEEP) for w in set(low.split())}
+    out = set(words_of(low) if words is None else words)
     if len(low) >= 5:
         out.update(m.group().translate(_KEEP) for m in _SPELT.finditer(low))
     out.discard("")
     return out
 
 
+def joins(table: np.ndarray, docs: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, str]]:
+    """The sum of ``table`` over the weighted subsequences of 2 to JOINED adjacent words as one: (sums, documents, starts, ends in the letters, letters).
+
+    The same sums as those of :func:`subsequences` of the joined letters, by differences of running sums. Of joins of
+    over LONGEST letters the middle is compared. A stretch of a million letters or so is held at a time.
+    """
+    some: list[list[str]] = []
+    whose: list[int] = []
+    size = 0
+    for d, words in enumerate(docs):
+        for lo in range(0, max(len(words) - 1, 0), 100_000):
+            some.append(words[lo : lo + 100_000 + JOINED - 1])
+            whose.append(d)
+            size += sum(map(len, some[-1]))
+            if size > 1_000_000:
+                yield from _joins(table, some, whose)
+                some, whose, size = [], [], 0
+    yield from _joins(table, some, whose)
+
+
+def _joins(table: np.ndarray, some: list[list[str]], whose: list[int]) -> Iterator[tuple]:
+    flat = "".join(map("".join, some))
+    point = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    n = len(point)
+    codes = np.zeros(n + SPAN, np.int32)
+    codes[:n] = np.where((point >= 97) & (point <= 122), point - 96, 27 + point % (LETTERS - 27))
+    length = np.fromiter((len(w) for d in some for w in d), np.int64)
+    ends = np.cumsum(length)
+    starts = ends - length
+    piece = np.repeat(np.arange(len(some)), [len(d) for d in some])
+    sums = {}
+    for far in range(ORDER - 1, SPAN):
+        value = np.zeros(n + 1)
+        m = max(n - far, 0)
+        for (_, i, j, k), w in zip(_SHAPES, _WEIGHTS, strict=True):
+            if k == far:
+                value[1 : m + 1] += table[((codes[:m] * LETTERS + codes[i : i + m]) * LETTERS + codes[j : j + m]) * LETTERS + codes[k : k + m]] * w
+        sums[far] = np.cumsum(value)
+    for many in range(2, JOINED + 1):
+        first = np.flatnonzero(piece[: len(piece) - many + 1] == piece[many - 1 :])
+        if not len(first):
+            continue
+        last = first + many - 1
+        s, e = starts[first], ends[last]
+        long = e - s > LONGEST
+        s = np.where(long, np.maximum(s, ends[first] - LONGEST // 2), s)
+        e = np.where(long, np.minimum(np.minimum(e, starts[last] + LONGEST // 2), s + LONGEST), e)
+        size, got = e - s, np.zeros(len(first))
+        for far, running in sums.items():
+            got += np.where(size > far, running[np.maximum(e - far, s)] - running[s], 0)
+        for (_, i, j, k), w in zip(_SHAPES, _WEIGHTS, strict=True):
+            second, third = codes[s + i - 1] * LETTERS, codes[s + j - 1]
+            begins = table[(second + third) * LETTERS + codes[s + k - 1]]
+            at = np.maximum(e - k, 0)
+            closes = table[((codes[at] * LETTERS + codes[at + i]) * LETTERS + codes[at + j]) * LETTERS]
+            got += np.where(size >= k, begins + closes, 0) * w
+            short = np.flatnonzero(size == k - 1)
+            got[short] += table[(second[short] + third[short]) * LETTERS] * w
+        yield got, np.array(whose)[piece[first]], s, e, flat
+
+
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """For each word (row), codes of its letter subsequences of ORDER letters within SPAN, and their weights (0 where there is none).
 
@@ -82,10 +159,10 @@ class Scorer:
     so alpha and the landmarks fold into one number for each u, and a word costs as many look-ups as it has subsequences.
     """
 
-    def __init__(self, codes: np.ndarray, weights: np.ndarray, slope: float = 1.0, middle: float = 0.0):
+    def __init__(self, codes: np.ndarray, weights: np.ndarray, slope: float = 1.0, middle: float = 0.0, less: float = 0.0):
         self.table = np.zeros(LETTERS**ORDER, np.float32)
         self.table[codes] = weights
-        self.slope, self.middle = slope, middle
+        self.slope, self.middle, self.less = slope, middle, less  # less: what a join's margin is lowered by
         self.known: dict[str, float] = {}
 
     def words(self, words: list[str]) -> np.ndarray:
@@ -101,23 +178,29 @@ class Scorer:
         return np.maximum.reduceat(got, ends) if len(ends) else got
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
-        """The largest margin among each text's sentences, which is the largest among their words; the least possible without words."""
-        own = [runs(t) if t else set() for t in texts]
+        """The largest margin among each text's sentences, which is the largest among their words and joins; the least possible without words."""
+        ordered = [words_of(t.lower()) if t else [] for t in texts]
+        own = [runs(t, w) if t else set() for t, w in zip(texts, ordered)]
         new = list(set().union(*own).difference(self.known))
         if len(self.known) + len(new) > KNOWN:
             self.known.clear()
             new = list(set().union(*own))
         self.known.update(zip(new, self.words(new).tolist()))
-        return np.array([max(map(self.known.__getitem__, w), default=-1e3) for w in own])
+        best = np.array([max(map(self.known.__getitem__, w), default=-1e3) for w in own])
+        for got, whose, *_ in joins(self.table, ordered):
+            np.maximum.at(best, whose, got - self.less)
+        return best
 
     def probability(self, margins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (margins - self.middle), -30, 30)))
 
 
-def _train(docs: list[list[list[str]]], toxic: np.ndarray, landmarks: int = 128, rounds: int = 3, cost: float = 10.0, seed: int = 9) -> Scorer:
-    """``docs``: words by sentence. A toxic document's label holds for at least one of its sentences: which one is chosen anew each round.
+def _train(docs: list[list[list[str]]], ordered: list[list[str]], toxic: np.ndarray, landmarks: int = 128, rounds: int = 3, cost: float = 10.0, seed: int = 9) -> Scorer:
+    """``docs``: words by sentence; ``ordered``: words of each whole document, for joins. A toxic document's label holds for at least one of its sentences: which one is chosen anew each round.
 
-    The first choice is by how much more often a sentence's subsequences occur in toxic documents.
+    The first choice is by how much more often a sentence's subsequences occur in toxic documents. The machine is fitted
+    to words; what a join's margin is lowered by is set so that of the clean documents that pass by their words at most
+    1 in 500 is rejected for a join.
     """
     rng = np.random.default_rng(seed)
     bags = [sorted({p for s in d for w in s for p in parts(w)}) for d in docs]
@@ -180,6 +263,12 @@ def _train(docs: list[list[list[str]]], toxic: np.ndarray, landmarks: int = 128,
     top = np.flatnonzero(np.array(right) == max(right))
     scorer.middle = float(middles[top[len(top) // 2]])
     scorer.slope = 4.0
+    joined = np.full(len(docs), -np.inf)
+    for sums, whose, *_ in joins(scorer.table, ordered):
+        np.maximum.at(joined, whose, sums)
+    passed = joined[(toxic == 0) & (best < scorer.middle) & (joined > -np.inf)]
+    if len(passed):
+        scorer.less = max(0.0, float(np.quantile(passed, 0.998)) - scorer.middle)
     return scorer
 
 
@@ -209,9 +298,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, *, key:
     toxic = np.array([int(r.label > 0) for r in rows])
     if not any(any(s) for d, t in zip(docs_, toxic) if t for s in d) or not any(any(s) for d, t in zip(docs_, toxic) if not t for s in d):
         return None
-    scorer = _train(docs_, toxic)
+    scorer = _train(docs_, [words_of((r.text or "").lower()) for r in rows], toxic)
     used = np.flatnonzero(scorer.table)
-    return pickle.dumps((used.astype(np.int32), scorer.table[used], scorer.slope, scorer.middle), 5)
+    return pickle.dumps((used.astype(np.int32), scorer.table[used], scorer.slope, scorer.middle, scorer.less), 5)
 
 
 _loaded: dict[bytes, Scorer] = {}
@@ -227,6 +316,7 @@ def _scorer(model: bytes) -> Scorer:
 def score_toxicity(docs: DataFrame, model: bytes | None, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), score: str = "score") -> DataFrame:
     """``keep`` and ``score``, the probability of label 1, for every whole text: that of its worst sentence; 0 without a model.
 
+    Words are compared by themselves and 2 to JOINED adjacent ones as one, so white space inside an insult doesn't hide it.
     Null and empty texts, and those without letters, score 0; words of any length are compared in overlapping parts;
     texts of any length are scored whole; repeated rows stay; an empty table gives an empty result. A column of
     ``keep`` that has the name of ``score`` is replaced.
