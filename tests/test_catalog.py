@@ -40,6 +40,20 @@ def test_rows_only(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
 
 
+def test_all_abbreviations_of_documents(spark, tmp_path):
+    from collections import Counter
+
+    from verbatrix.functions.fixed import ABBREVIATIONS
+
+    keys, rng = sorted(ABBREVIATIONS), __import__("random").Random(3)
+    used = [[rng.choice(keys) for _ in range(i % 5)] for i in range(40)]
+    texts = [", and ".join(["here", *(k.upper() if i % 2 else k for k in own), "there"]) for i, own in enumerate(used)]
+    spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.abbr: r.n for r in catalog.queries()["q_abbrev_documents"](spark, str(tmp_path)).collect()}
+    want = Counter(k for own in used for k in own)
+    assert got == want and any(not k.isalpha() for k in want)
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -110,6 +110,12 @@ def q_abbrev_words(spark, sf_dir):
     return profile.detect_abbreviations(_docs(spark, sf_dir), "text", None).where(F.col("abbr").isin(_ONE_WORD))
 
 
+@_query()
+def q_abbrev_documents(spark, sf_dir):
+    """All abbreviations, also those with marks or spaces, which q_abbrev_words leaves out for its SQL's sake."""
+    return profile.detect_abbreviations(_docs(spark, sf_dir), "text", None)
+
+
 @_query(_sums({"br": {0: 1}, "ba": {0: 1}, "sqft": {0: 1}, "w/": {0: 1}, "sq. ft": {3: 1}, "a/c": {5: 1}, "w/d": {5: 1}, "w/o": {5: 1}, "hoa": {5: 1}, "yr": {6: 1}, "dr": {9: 1}}, "abbr"))
 def q_abbrev_counts(spark, sf_dir):
     return profile.detect_abbreviations(_listings(spark, sf_dir), "remarks", None)
