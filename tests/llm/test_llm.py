@@ -21,7 +21,8 @@ from verbatrix.llm.packing import cuts, pack_documents, padding
 from verbatrix.llm.quality_fm import FactorisationMachine, score_quality, train_quality
 from verbatrix.llm.simhash import ball, fingerprint, fingerprint_links, simhash_groups
 from verbatrix.llm.token_orc import read_tokens, token_digests, write_token_orc
-from verbatrix.llm.toxicity import joins, runs, score_toxicity, subsequences, train_toxicity
+from verbatrix.llm import toxicity
+from verbatrix.llm.toxicity import score_toxicity, train_toxicity, windows_of
 from verbatrix.llm.url_rules import judge_urls
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -311,26 +312,76 @@ def test_classifiers(spark, docs):
     assert train_quality(train, labels.limit(0), F.lit(True)) is None and train_toxicity(train, labels.limit(0), F.lit(True)) is None
 
 
-def test_subsequences_are_all_of_a_word():
-    word = "abcde"
-    codes, weights = subsequences([word])
-    marked = "\0" + word + "\0"
-    want = sorted(0.6 ** (c[-1] - c[0] - 3) for c in itertools.combinations(range(len(marked)), 4) if c[-1] - c[0] < 6)
-    assert np.allclose(sorted(weights[weights > 0]), want)
-    assert {"idiot"} == runs("i.d.i.o.t") and "idiot" in runs("you i d i o t!") and runs(" ") == set()
+def counted(x):
+    """The sum of weights of each subsequence of four symbols within six."""
+    out = {}
+    for c in itertools.combinations(range(len(x)), 4):
+        if c[-1] - c[0] < 6:
+            u = tuple(int(x[i]) for i in c)
+            out[u] = out.get(u, 0) + 0.6 ** (c[-1] - c[0] - 3)
+    return out
 
 
-def test_joins_are_scored_like_words():
+def cosine(a, b, q):
+    product = lambda a, b: sum(v * b.get(u, 0) * q(u) for u, v in a.items())
+    return product(a, b) / np.sqrt(product(a, a) * product(b, b))
+
+
+def test_sentence_kernel_is_the_explicit_sum():
     rng = np.random.default_rng(17)
-    table = rng.normal(size=40**4).astype(np.float32)
-    docs = [["id", "iot"], ["a"], [], ["a", "b", "c"], [rng.choice(WORDS) + "é" * int(rng.integers(3)) for _ in range(30)], ["x" * 60, "y" * 50, "z"]]
-    seen = 0
-    for got, whose, s, e, flat in joins(table, docs):
-        codes, weights = subsequences([flat[i:j] for i, j in zip(s, e)])
-        assert np.allclose(got, (table[codes] * weights).sum(1), atol=1e-3)
-        assert all(len(w) > 40 or w in "".join(docs[d]) for d, w in zip(whose, (flat[i:j] for i, j in zip(s, e))))
-        seen += len(got)
-    assert seen == 1 + 2 + 1 + 29 + 28 + 2 + 1
+    texts = ["You, b.l.o.c.k and go! Get lost é now", "aaaa aaaa aaaa", " ".join(rng.choice(WORDS, 15))]
+    w = windows_of(texts)
+    place = lambda u: ((u[0] * 40 + u[1]) * 40 + u[2]) * 40 + u[3]
+    rarity = rng.uniform(0.1, 1, 40**4).astype(np.float32)
+    n = len(w.start)
+    own = [counted(w.codes[a:b]) for a, b in zip(w.start, w.end)]
+    kernel, used, phi = toxicity.landmark_map(w, np.arange(n), np.arange(0, n, 2), rarity)
+    want = np.array([[cosine(a, b, lambda u: rarity[place(u)]) for b in own[::2]] for a in own])
+    assert np.allclose(kernel, want, atol=1e-4) and np.allclose(np.diag(phi.T @ phi), 1, atol=1e-5)
+    alpha = rng.normal(size=phi.shape[1])
+    machine = toxicity.Machine(rarity)
+    machine.table.real[used] = phi @ alpha * np.sqrt(rarity[used])
+    sums = want @ alpha
+    assert np.allclose(machine.margins(texts), [max(0, sums[w.text == i].max()) for i in range(3)], atol=1e-3)
+
+
+def words_seen(text):
+    w = windows_of([text])
+    return ["".join(" " if c == 0 else chr(96 + c) if c < 27 else "?" for c in w.codes[a:b]) for a, b in zip(w.start, w.end)]
+
+
+def test_sentences_are_cut_into_windows(monkeypatch):
+    assert words_seen("One two!  Three-4\n\nfive.") == [" one two ", " threea ", " five "]
+    assert words_seen("so i d. i. o t $tays é") == [" so idiot stays ? "]
+    assert words_seen("") == words_seen(" .\n 99 -- ") == []
+    assert words_seen("a bb cc dd ee ff gg hh ii jj") == [" a bb cc dd ee ff ", " dd ee ff gg hh ii ", " ee ff gg hh ii jj "]
+    long = words_seen("x" * 90)
+    assert [len(x) for x in long] == [92] and len(words_seen("y" * 400)) == 3
+    machine = toxicity.Machine(np.ones(40**4, np.float32))
+    rng = np.random.default_rng(3)
+    machine.table.real = rng.normal(size=40**4)
+    texts = [" ".join(rng.choice(WORDS, n)) for n in (400, 3, 90)] + [None, ""]
+    want = machine.margins(texts)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 900)
+    monkeypatch.setattr(toxicity, "OVERLAP", 300)
+    assert np.abs(machine.margins(texts) - want).max() < 0.3 and want[3] == want[4] == 0  # windows begin elsewhere in a stretch
+
+
+def test_toxicity_learns_phrases(spark):
+    rng = np.random.default_rng(21)
+    rows, labels = [], []
+    for i in range(400):
+        w = list(rng.choice(WORDS, 40))
+        rude = i % 4 == 0
+        w[10:10] = ["get", "lost"] if rude else ["get"] if i % 4 == 1 else ["lost"]
+        if i % 4 == 3:
+            w[30:30] = ["get"]
+        rows.append((i, " ".join(w) + ".", "s"))
+        labels.append((i, 1, int(rude)))
+    labels = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = train_toxicity(docs_of(spark, rows[:300]), labels, F.lit(True))
+    got = [(r.score >= 0.5, r.doc_id % 4 == 0) for r in score_toxicity(docs_of(spark, rows[300:]), model).collect()]
+    assert np.mean([p for p, rude in got if rude]) > 0.9 and np.mean([not p for p, rude in got if not rude]) > 0.9
 
 
 def test_toxicity_crosses_white_space(spark):

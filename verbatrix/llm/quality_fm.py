@@ -119,12 +119,14 @@ def train_quality(docs: DataFrame, labels: DataFrame, allowed: Column, *, key: s
     """A pickled model fitted to at most ``max_train`` labelled documents of at most ``max_chars`` characters; None without both labels.
 
     ``allowed``: a condition on the labels' rows; nothing else of them but the label is used. Only the sample's
-    features reach the driver.
+    features reach the driver. Null labels and ids are left out; of several labels of an id the largest holds, of several texts the least;
+    null texts are empty; ties in the choice of documents are broken by id. Same tables, same model.
     """
     sample = labelled_sample(docs.where(F.length(F.coalesce(F.col(text), F.lit(""))) <= max_chars), labels, label, allowed, max_train, key)
     size = F.col(n_chars).cast("double") if n_chars in docs.columns else F.lit(None).cast("double")
     rows = sample.select("label", F.col(text).alias("text"), size.alias("n_chars"), F.col("labelled_id"))
-    rows = rows.dropDuplicates(["labelled_id"]).select("label", "text", "n_chars").mapInPandas(_feature_frames, "label int, index binary, value binary").collect()
+    rows = rows.groupBy("labelled_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "n_chars", "label")).alias("r"))
+    rows = rows.select("r.label", "r.text", "r.n_chars").mapInPandas(_feature_frames, "label int, index binary, value binary").collect()
     if len({r.label for r in rows}) < 2:
         return None
     data = sorted((bytes(r["index"]), bytes(r["value"]), r["label"]) for r in rows)

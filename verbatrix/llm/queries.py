@@ -64,7 +64,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> bytes | None:
 
 def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
-    return scored.select("doc_id", (id_crc() % 4 == 2).alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(id_crc() % 4 == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def op8_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
-    return scored.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "score", (F.col("score") >= TOXIC_LEAST).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(id_crc() % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_LEAST).cast("int").alias("predicted"))
 
 
 def op10_html_diff(spark: SparkSession, sf_dir: str) -> DataFrame:

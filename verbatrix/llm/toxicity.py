@@ -1,11 +1,13 @@
-"""Toxicity: a support vector machine on a gapped-subsequence string kernel with Nystroem landmarks."""
+"""Toxicity: a support vector machine on a gapped-subsequence string kernel between sentences, with Nystroem landmarks."""
 
 from __future__ import annotations
 
 import pickle
-import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,263 +15,329 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import scored_batches
-from .quality_fm import KNOWN, labelled_sample
-
-ORDER, SPAN, DECAY, LETTERS, LONGEST = 4, 6, 0.6, 40, 40
-#: As many adjacent words are also compared as one, without the white space between them.
-JOINED = 3
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
-_SPELT = re.compile(r"(?<!\w)\w(?:[\W_]{1,3}\w){2,}(?!\w)")
+from .quality_fm import labelled_sample
+
+ORDER, SPAN, DECAY, SYMBOLS = 4, 6, 0.6, 40
+#: A sentence of over WORDS words is compared in stretches of WORDS, each half over the one before; LONGEST letters count as a word.
+WORDS, LONGEST = 6, 40
+#: Characters read at a time; of a longer text that many, each stretch OVERLAP over the one before.
+AT_ONCE, OVERLAP = 1_000_000, 4096
+#: A subsequence that is in a share s of the clean texts counts 1 / (1 + s / RARE).
+RARE = 0.01
 #: Fixed: digits and marks that stand for letters.
 _LOOKS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _SHAPES = [(0, *rest) for rest in combinations(range(1, SPAN), ORDER - 1)]
 _WEIGHTS = np.array([DECAY ** (s[-1] - ORDER + 1) for s in _SHAPES], np.float32)
+_SIZE = SYMBOLS**ORDER
+_DROPPED, _STOP, _LINE = -1, -2, -3
 
 
-class _Table(dict):
-    """For str.translate: letters stay, looks become letters, anything else goes."""
-
-    def __missing__(self, c: int):
-        x = _LOOKS.get(chr(c), chr(c))
-        self[c] = x if x.isalpha() else None
-        return self[c]
-
+def _symbol(c: str) -> int:
+    """0 for white space, 1 to 26 for a to z, others for other letters; below 0 for what is left out, ends a sentence or a line."""
+    if c == "\n":
+        return _LINE
+    if c in ".!?…":
+        return _STOP
+    if c.isspace():
+        return 0
+    c = _LOOKS.get(c, c).lower()[:1]
+    return _DROPPED if not c.isalpha() else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % (SYMBOLS - 27)
 
-class _Spaced(_Table):
-    """The same, but white space stays."""
 
-    def __missing__(self, c: int):
-        x = super().__missing__(c)
-        self[c] = x = chr(c) if chr(c).isspace() else x
-        return x
+@lru_cache(maxsize=1)
+def _symbols() -> np.ndarray:
+    return np.array([_symbol(chr(c)) for c in range(1 << 16)], np.int8)
 
 
-_KEEP, _SPACED = _Table(), _Spaced()
+class Windows(NamedTuple):
+    """Stretches of sentences: symbols of all texts, and for each stretch where it starts and ends there, and its text's number."""
 
+    codes: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    text: np.ndarray
 
-def _code(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % (LETTERS - 27)
 
+def windows_of(texts: list[str]) -> Windows:
+    """The sentences of texts as symbols with one space between words and at either end, in stretches of at most WORDS words.
 
-def words_of(low: str) -> list[str]:
-    """The words of a lower-cased text in order, without marks between letters; those without letters are left out."""
-    return low.translate(_SPACED).split()
+    A sentence ends with a full stop, question or exclamation mark or ellipsis before white space, or with the line. Marks inside words are left
+    out, looks stand for letters, and three or more letters spelt one by one are a word.
+    """
+    flat = "\n" + "\n".join(texts) + "\n"
+    point = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+    high = point >= 1 << 16
+    if high.any():
+        symbol = _symbols()[np.where(high, 0, point)]
+        symbol[high] = [_symbol(chr(c)) for c in point[high]]
+    else:
+        symbol = _symbols()[point]
+    owner = np.repeat(np.arange(len(texts) + 1, dtype=np.int32), [len(t) + 1 for t in texts] + [1])
+    cut = symbol == _LINE
+    cut[1:] |= (symbol[1:] == 0) & (symbol[:-1] == _STOP)
+    kept = (symbol >= 0) | (symbol == _LINE)
+    symbol, owner, cut = np.maximum(symbol[kept], 0), owner[kept], cut[kept]
+    space = symbol == 0
+    first = space.copy()
+    first[1:] &= ~space[:-1]
+    group = np.cumsum(first) - 1
+    cut = np.bincount(group[cut], minlength=int(first.sum())) > 0  # by run of white space
+    kept = ~space | first
+    codes, owner = symbol[kept], owner[kept]
+    gaps = np.flatnonzero(codes == 0)
+    single = np.diff(gaps) == 2
+    if single.sum() > 2:  # letters spelt one by one are one word
+        both = np.zeros(len(gaps), bool)
+        both[1:-1] = single[1:] & single[:-1] & (owner[gaps[1:-1] - 1] == owner[gaps[1:-1] + 1])
+        many = both & (np.r_[False, both[:-1]] | np.r_[both[1:], False])
+        if many.any():
+            kept = np.ones(len(codes), bool)
+            kept[gaps[many]] = False
+            codes, owner, cut = codes[kept], owner[kept], cut[~many]
+            gaps = np.flatnonzero(codes == 0)
+    if len(gaps) < 2:
+        none = np.empty(0, np.int64)
+        return Windows(codes, none, none, none)
+    start, end, begins = gaps[:-1], gaps[1:] + 1, cut[:-1]
+    parts = (end - start - 3) // LONGEST + 1
+    if parts.max() > 1:  # long words in parts
+        ends = np.cumsum(parts)
+        inner = np.arange(ends[-1]) - np.repeat(ends - parts, parts)
+        last = inner == np.repeat(parts, parts) - 1
+        begins = np.repeat(begins, parts) & (inner == 0)
+        start, end = np.repeat(start, parts), np.repeat(end, parts)
+        start, end = start + inner * LONGEST, np.where(last, end, start + (inner + 1) * LONGEST + 1)
+    head = np.flatnonzero(begins)
+    size = np.diff(np.r_[head, len(start)])
+    more = np.maximum(size - WORDS, 0)
+    step = WORDS // 2
+    count = 1 + -(-more // step)
+    ends = np.cumsum(count)
+    j = np.arange(ends[-1]) - np.repeat(ends - count, count)
+    a = np.repeat(head, count) + np.minimum(j * step, np.repeat(more, count))
+    b = a + np.repeat(np.minimum(size, WORDS), count) - 1
+    return Windows(codes, start[a], end[b], owner[start[a] + 1].astype(np.int64))
+
+
+def window_sums(codes: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each stretch, the sum over its weighted subsequences of the table's real part, and with squared weights of its imaginary part."""
+    n = len(codes)
+    padded = np.zeros(n + SPAN, np.int32)
+    padded[:n] = codes
+    pair = [None, *(padded[: len(padded) - d] * SYMBOLS + padded[d:] for d in range(1, SPAN - 2))]
+    lead = [None, *(p[:n] * (SYMBOLS * SYMBOLS) for p in pair[1:])]
+    got, square = np.zeros(len(start)), np.zeros(len(start))
+    for far in range(ORDER - 1, SPAN):
+        w = DECAY ** (far - ORDER + 1)
+        value = np.zeros(n + 1, np.complex64)
+        for _, i, j, k in _SHAPES:
+            if k == far:
+                value[1:] += table[lead[i] + pair[k - j][j : j + n]]
+        running = np.cumsum(value, dtype=np.complex128)
+        d = running[np.maximum(end - far, start)] - running[start]
+        got += d.real * w
+        square += d.imag * (w * w)
+    return got, square
+
+
+def occurrences(codes: np.ndarray) -> np.ndarray:
+    """Codes of all subsequences of a row of symbols."""
+    p, n = codes.astype(np.int32), len(codes)
+    found = [((p[: n - k] * SYMBOLS + p[i : n - k + i]) * SYMBOLS + p[j : n - k + j]) * SYMBOLS + p[k:] for _, i, j, k in _SHAPES if n > k]
+    return np.concatenate(found) if found else np.empty(0, np.int32)
+
+
+def features(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches' distinct subsequences: stretch, code, and the sum of the weights of its occurrences there."""
+    whose, code, weight = [], [], []
+    padded = np.concatenate([codes.astype(np.int64), np.zeros(SPAN, np.int64)])
+    for (_, i, j, k), w in zip(_SHAPES, _WEIGHTS.tolist(), strict=True):
+        n = np.maximum(end - start - k, 0)
+        at = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        code.append(((padded[at] * SYMBOLS + padded[at + i]) * SYMBOLS + padded[at + j]) * SYMBOLS + padded[at + k])
+        whose.append(np.repeat(np.arange(len(start)), n))
+        weight.append(np.full(len(at), w, np.float32))
+    key = np.concatenate(whose) * _SIZE + np.concatenate(code)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    if not len(key):
+        return key, key, np.empty(0, np.float32)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    whose, code = np.divmod(key[first], _SIZE)
+    return whose, code, np.add.reduceat(np.concatenate(weight)[order], first)
+
+
+def margins(table: np.ndarray, w: Windows, texts: int) -> np.ndarray:
+    """For each text the largest sum over a stretch, divided by the stretch's norm, or 0 if none is above.
+
+    The norm is at least the root of the sum of squared weights, so stretches are taken in the order of that bound
+    until none of a text's can be larger than what it has.
+    """
+    best = np.zeros(texts)
+    raw, square = window_sums(w.codes, w.start, w.end, table)
+    some = np.flatnonzero((raw > 1e-4) & (square > 1e-9))
+    bound = raw[some] / np.sqrt(square[some]) * (1 + 1e-5) + 1e-6
+    order = np.lexsort((-bound, w.text[some]))
+    some, bound = some[order], bound[order]
+    text = w.text[some]
+    at = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.empty(0, np.int64)
+    last, many = np.r_[at[1:], len(text)], 1
+    while len(at):
+        going = bound[at] > best[text[at]]
+        at, last = at[going], last[going]
+        n = np.minimum(last - at, many)
+        for lo in range(0, len(at), 1024):
+            reps = n[lo : lo + 1024]
+            i = np.repeat(at[lo : lo + 1024] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
+            i = i[bound[i] > best[text[i]]]
+            np.maximum.at(best, text[i], exact(table, w, some[i]))
+        at, many = at + n, 2 * many
+        more = at < last
+        at, last = at[more], last[more]
+    return best
+
+
+def exact(table: np.ndarray, w: Windows, i: np.ndarray) -> np.ndarray:
+    """The sums of stretches ``i`` divided by their norms."""
+    whose, code, weight = features(w.codes, w.start[i], w.end[i])
+    norm = np.bincount(whose, table.imag[code] * weight**2, len(i))
+    value = np.bincount(whose, table.real[code] * weight, len(i))
+    return value / np.sqrt(np.maximum(norm, 1e-9))
+
+
+class Machine:
+    """The machine in its primal form: a number for each subsequence that a landmark has.
+
+    f(x) = sum over landmarks z of alpha_z K(x, z) / (|x| |z|), and K(x, z) = sum over subsequences u of q_u c_u(x) c_u(z), where c_u
+    sums the weights of u's occurrences and q_u is smaller the more clean texts have u. So alpha, |z| and the landmarks fold
+    into one number for each u, and a sentence costs as many look-ups as it has subsequences.
+    """
 
+    def __init__(self, rarity: np.ndarray):
+        self.table = np.zeros(_SIZE, np.complex64)
+        self.table.imag = rarity
+        self.middle, self.slope = 0.0, 4.0
 
-def runs(sentence: str, words: list[str] | None = None) -> set[str]:
-    """What of a sentence is compared by itself: its words, lower-cased, without marks between letters, and letters spelt one by one, joined."""
-    low = sentence.lower()
-    out = set(words_of(low) if words is None else words)
-    if len(low) >= 5:
-        out.update(m.group().translate(_KEEP) for m in _SPELT.finditer(low))
-    out.discard("")
-    return out
+    def margins(self, texts: list[str | None]) -> np.ndarray:
+        best = np.zeros(len(texts))
+        for some, whose in _pieces(texts):
+            np.maximum.at(best, whose, margins(self.table, windows_of(some), len(some)))
+        return best
 
+    def probability(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * (self.margins(texts) - self.middle), -30, 30)))
 
-def joins(table: np.ndarray, docs: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, str]]:
-    """The sum of ``table`` over the weighted subsequences of 2 to JOINED adjacent words as one: (sums, documents, starts, ends in the letters, letters).
 
-    The same sums as those of :func:`subsequences` of the joined letters, by differences of running sums. Of joins of
-    over LONGEST letters the middle is compared. A stretch of a million letters or so is held at a time.
-    """
-    some: list[list[str]] = []
+def _pieces(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Texts and whose they are, about AT_ONCE characters at a time."""
+    some: list[str] = []
     whose: list[int] = []
     size = 0
-    for d, words in enumerate(docs):
-        for lo in range(0, max(len(words) - 1, 0), 100_000):
-            some.append(words[lo : lo + 100_000 + JOINED - 1])
-            whose.append(d)
-            size += sum(map(len, some[-1]))
-            if size > 1_000_000:
-                yield from _joins(table, some, whose)
+    for i, t in enumerate(texts):
+        for lo in range(0, max(1, len(t or "") - OVERLAP), AT_ONCE - OVERLAP):
+            some.append((t or "")[lo : lo + AT_ONCE])
+            whose.append(i)
+            size += len(some[-1])
+            if size > AT_ONCE:
+                yield some, np.array(whose)
                 some, whose, size = [], [], 0
-    yield from _joins(table, some, whose)
-
-
-def _joins(table: np.ndarray, some: list[list[str]], whose: list[int]) -> Iterator[tuple]:
-    flat = "".join(map("".join, some))
-    point = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
-    n = len(point)
-    codes = np.zeros(n + SPAN, np.int32)
-    codes[:n] = np.where((point >= 97) & (point <= 122), point - 96, 27 + point % (LETTERS - 27))
-    length = np.fromiter((len(w) for d in some for w in d), np.int64)
-    ends = np.cumsum(length)
-    starts = ends - length
-    piece = np.repeat(np.arange(len(some)), [len(d) for d in some])
-    sums = {}
-    for far in range(ORDER - 1, SPAN):
-        value = np.zeros(n + 1)
-        m = max(n - far, 0)
-        for (_, i, j, k), w in zip(_SHAPES, _WEIGHTS, strict=True):
-            if k == far:
-                value[1 : m + 1] += table[((codes[:m] * LETTERS + codes[i : i + m]) * LETTERS + codes[j : j + m]) * LETTERS + codes[k : k + m]] * w
-        sums[far] = np.cumsum(value)
-    for many in range(2, JOINED + 1):
-        first = np.flatnonzero(piece[: len(piece) - many + 1] == piece[many - 1 :])
-        if not len(first):
-            continue
-        last = first + many - 1
-        s, e = starts[first], ends[last]
-        long = e - s > LONGEST
-        s = np.where(long, np.maximum(s, ends[first] - LONGEST // 2), s)
-        e = np.where(long, np.minimum(np.minimum(e, starts[last] + LONGEST // 2), s + LONGEST), e)
-        size, got = e - s, np.zeros(len(first))
-        for far, running in sums.items():
-            got += np.where(size > far, running[np.maximum(e - far, s)] - running[s], 0)
-        for (_, i, j, k), w in zip(_SHAPES, _WEIGHTS, strict=True):
-            second, third = codes[s + i - 1] * LETTERS, codes[s + j - 1]
-            begins = table[(second + third) * LETTERS + codes[s + k - 1]]
-            at = np.maximum(e - k, 0)
-            closes = table[((codes[at] * LETTERS + codes[at + i]) * LETTERS + codes[at + j]) * LETTERS]
-            got += np.where(size >= k, begins + closes, 0) * w
-            short = np.flatnonzero(size == k - 1)
-            got[short] += table[(second[short] + third[short]) * LETTERS] * w
-        yield got, np.array(whose)[piece[first]], s, e, flat
-
-
-def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each word (row), codes of its letter subsequences of ORDER letters within SPAN, and their weights (0 where there is none).
-
-    A word has an end mark on either side. Words of over LONGEST letters must be cut into overlapping parts before.
-    """
-    wide = max(map(len, words), default=0) + 2
-    codes = np.full((len(words), wide + SPAN), -1, np.int32)
-    for i, w in enumerate(words):
-        codes[i, : len(w) + 2] = [0, *map(_code, w), 0]
-    out, weight = [], []
-    for shape, x in zip(_SHAPES, _WEIGHTS, strict=True):
-        letters = [codes[:, k : k + wide] for k in shape]
-        code = letters[0]
-        for more in letters[1:]:
-            code = code * LETTERS + more
-        ok = letters[-1] >= 0
-        out.append(np.where(ok, code, 0))
-        weight.append(np.where(ok, x, np.float32(0)))
-    return np.concatenate(out, 1), np.concatenate(weight, 1)
-
-
-def parts(word: str) -> list[str]:
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word) - SPAN, LONGEST - SPAN)]
-
-
-class Scorer:
-    """The machine in its primal form: a weight for each subsequence that a landmark has.
-
-    f(x) = sum over landmarks z of alpha_z K(x, z) + b, and K(x, z) = sum over subsequences u of phi_u(x) phi_u(z),
-    so alpha and the landmarks fold into one number for each u, and a word costs as many look-ups as it has subsequences.
-    """
+    if some:
+        yield some, np.array(whose)
 
-    def __init__(self, codes: np.ndarray, weights: np.ndarray, slope: float = 1.0, middle: float = 0.0, less: float = 0.0):
-        self.table = np.zeros(LETTERS**ORDER, np.float32)
-        self.table[codes] = weights
-        self.slope, self.middle, self.less = slope, middle, less  # less: what a join's margin is lowered by
-        self.known: dict[str, float] = {}
-
-    def words(self, words: list[str]) -> np.ndarray:
-        cut = [parts(w) for w in words]
-        flat = [p for c in cut for p in c]
-        got = np.empty(len(flat), np.float32)
-        order = np.argsort([len(p) for p in flat], kind="stable")  # words of like length waste no space together
-        for lo in range(0, len(flat), 2048):
-            some = order[lo : lo + 2048]
-            codes, weights = subsequences([flat[i] for i in some])
-            got[some] = (self.table[codes] * weights).sum(1)
-        ends = np.cumsum([0] + [len(c) for c in cut])[:-1]
-        return np.maximum.reduceat(got, ends) if len(ends) else got
 
-    def margins(self, texts: list[str | None]) -> np.ndarray:
-        """The largest margin among each text's sentences, which is the largest among their words and joins; the least possible without words."""
-        ordered = [words_of(t.lower()) if t else [] for t in texts]
-        own = [runs(t, w) if t else set() for t, w in zip(texts, ordered)]
-        new = list(set().union(*own).difference(self.known))
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = list(set().union(*own))
-        self.known.update(zip(new, self.words(new).tolist()))
-        best = np.array([max(map(self.known.__getitem__, w), default=-1e3) for w in own])
-        for got, whose, *_ in joins(self.table, ordered):
-            np.maximum.at(best, whose, got - self.less)
-        return best
+def _all_windows(texts: list[str]) -> Windows:
+    parts = [(windows_of(some), whose) for some, whose in _pieces(texts)]
+    at = np.cumsum([0] + [len(p.codes) for p, _ in parts])
+    places = [np.concatenate([getattr(p, f) + b for (p, _), b in zip(parts, at)]) for f in ("start", "end")]
+    return Windows(np.concatenate([p.codes for p, _ in parts]), *places, np.concatenate([whose[p.text] for p, whose in parts]))
 
-    def probability(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (margins - self.middle), -30, 30)))
 
+def _scores(table: np.ndarray, w: Windows, step: int = 20_000) -> np.ndarray:
+    """About each stretch's margin: its norm without the products of occurrences of one subsequence."""
+    out = np.empty(len(w.start))
+    for lo in range(0, len(w.start), step):
+        start, end = w.start[lo : lo + step], w.end[lo : lo + step]
+        a = start.min()
+        raw, square = window_sums(w.codes[a : end.max()], start - a, end - a, table)
+        out[lo : lo + step] = raw / np.sqrt(np.maximum(square, 1e-9))
+    return out
 
-def _train(docs: list[list[list[str]]], ordered: list[list[str]], toxic: np.ndarray, landmarks: int = 128, rounds: int = 3, cost: float = 10.0, seed: int = 9) -> Scorer:
-    """``docs``: words by sentence; ``ordered``: words of each whole document, for joins. A toxic document's label holds for at least one of its sentences: which one is chosen anew each round.
 
-    The first choice is by how much more often a sentence's subsequences occur in toxic documents. The machine is fitted
-    to words; what a join's margin is lowered by is set so that of the clean documents that pass by their words at most
-    1 in 500 is rejected for a join.
+def landmark_map(w: Windows, rows: np.ndarray, landmarks: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Normalised kernel of ``rows`` with ``landmarks``, the landmarks' subsequences, and their normalised weights (a column a landmark)."""
+    whose, code, weight = features(w.codes, w.start[landmarks], w.end[landmarks])
+    used, place = np.unique(code, return_inverse=True)
+    phi = np.zeros((len(used) + 1, len(landmarks)), np.float32)  # the last row is for those of no landmark
+    phi[place, whose] = weight * np.sqrt(rarity[code])
+    phi /= np.sqrt((phi**2).sum(0))
+    column = np.full(_SIZE, len(used), np.int32)
+    column[used] = np.arange(len(used))
+    kernel = np.zeros((len(rows), len(landmarks)))
+    for lo in range(0, len(rows), 64):
+        i = rows[lo : lo + 64]
+        whose, code, weight = features(w.codes, w.start[i], w.end[i])
+        value = weight * np.sqrt(rarity[code])
+        at = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]])
+        kernel[lo + whose[at]] = np.add.reduceat(phi[column[code]] * value[:, None], at, dtype=np.float32)
+        kernel[lo : lo + 64] /= np.sqrt(np.bincount(whose, value.astype(float) ** 2, len(i)))[:, None]
+    return kernel, used, phi[:-1]
+
+
+def _train(texts: list[str], toxic: np.ndarray, landmarks: int = 256, rounds: int = 2, cost: float = 5.0, seed: int = 9) -> Machine | None:
+    """A toxic text's label holds for at least one of its stretches: which one, its witness, is chosen anew each round.
+
+    The first choice is by how much more often a stretch's subsequences occur in toxic texts. Each round draws landmarks from the witnesses
+    and the clean stretches, maps stretches to the span of the landmarks (Nystroem), and fits the machine there.
     """
     rng = np.random.default_rng(seed)
-    bags = [sorted({p for s in d for w in s for p in parts(w)}) for d in docs]
-    words = sorted(set().union(*bags), key=lambda w: (len(w), w))
-    place = {w: i for i, w in enumerate(words)}
-    members = [np.array([place[w] for w in b], np.int64) for b in bags]
-    held = [np.zeros(LETTERS**ORDER, np.int32) for _ in range(2)]
-    chunks = [words[lo : lo + 2048] for lo in range(0, len(words), 2048)]
-    solid = [np.unique(c[w == 1]) for some in chunks for c, w in zip(*subsequences(some))]
-    for m, t in zip(members, toxic):
-        if len(m):
-            held[int(t)][np.unique(np.concatenate([solid[i] for i in m]))] += 1
-    odds = np.log((held[1] + 0.5) / (toxic.sum() + 1)) - np.log((held[0] + 0.5) / ((1 - toxic).sum() + 1))
-    odds[(held[1] < max(3, 0.02 * toxic.sum())) | (odds < 1.5)] = 0
-    score = np.concatenate([(np.clip(odds, 0, 6)[c] * w).sum(1) for c, w in map(subsequences, chunks)])
-    clean = np.unique(np.concatenate([m for m, t in zip(members, toxic) if not t and len(m)]))
-    scorer = None
+    w = _all_windows(texts)
+    long = np.flatnonzero(w.end - w.start >= ORDER)
+    w = Windows(w.codes, w.start[long], w.end[long], w.text[long])
+    clean = np.flatnonzero(toxic[w.text] == 0)
+    if not len(clean) or len(clean) == len(w.text):
+        return None
+    counts, last = np.zeros((2, _SIZE), np.int32), np.zeros(_SIZE, np.int32)
+    edges = np.flatnonzero(np.r_[True, w.text[1:] != w.text[:-1], True])
+    for lo, hi in zip(edges, edges[1:]):
+        found = occurrences(w.codes[w.start[lo] : w.end[hi - 1]])
+        place = np.arange(len(found), dtype=np.int32)
+        last[found] = place
+        counts[toxic[w.text[lo]], found[last[found] == place]] += 1  # once a text
+    many = toxic.sum(), (1 - toxic).sum()
+    rarity = (1 / (1 + counts[0] / (RARE * many[1]))).astype(np.float32)
+    odds = np.log((counts[1] + 0.5) / (many[0] + 1)) - np.log((counts[0] + 0.5) / (many[1] + 1))
+    odds[(counts[1] < max(3, 0.02 * many[0])) | (odds < 1.5)] = 0
+    machine, bias = Machine(rarity), 0.0
+    machine.table.real = np.clip(odds, 0, 6) * rarity
     for _ in range(rounds):
-        best = [m[np.argmax(score[m])] for m, t in zip(members, toxic) if t and len(m)]
-        # a document without a likely sentence is taken as labelled wrongly
-        witness, times = np.unique([w for w in best if score[w] > 0] or best, return_counts=True)
-        hard = clean[np.argsort(-score[clean], kind="stable")[:2000]]
-        some = np.unique(np.r_[hard, rng.choice(clean, min(4000, len(clean)), replace=False)])
-        if not np.isin(witness, clean).all():
-            witness, times = witness[~np.isin(witness, clean)], times[~np.isin(witness, clean)]
-        often = witness[np.argsort(-times, kind="stable")]
-        rare = often[landmarks // 2 :]
-        z = np.r_[often[: landmarks // 2], rng.choice(rare, min(landmarks // 4, len(rare)), replace=False), rng.choice(hard, min(landmarks // 4, len(hard)), replace=False)]
-        codes, weights = subsequences([words[i] for i in z])
-        used, at = np.unique(codes[weights > 0], return_inverse=True)
-        phi = np.zeros((len(z), len(used)), np.float32)
-        np.add.at(phi, (np.nonzero(weights > 0)[0], at), weights[weights > 0])
-        column = np.full(LETTERS**ORDER, -1, np.int32)
-        column[used] = np.arange(len(used))
-        norm = np.sqrt((phi**2).sum(1))
-        phi /= norm[:, None]
-        values, vectors = np.linalg.eigh(phi @ phi.T)
+        score = _scores(machine.table, w) + bias
+        order = np.lexsort((-score, w.text))
+        top = order[np.r_[True, w.text[order][1:] != w.text[order][:-1]]]  # of each text
+        witness, hard = top[toxic[w.text[top]] == 1], top[toxic[w.text[top]] == 0]
+        # a text without a likely stretch is taken as labelled wrongly
+        witness = witness[score[witness] > 0] if (score[witness] > 0).any() else witness
+        hard = hard[np.argsort(-score[hard], kind="stable")[:1500]]
+        some = np.unique(np.r_[hard, rng.choice(clean, min(2500, len(clean)), replace=False)])
+        z = np.concatenate([rng.choice(x, min(n, len(x)), replace=False) for x, n in ((witness, landmarks // 2), (hard, landmarks // 4), (clean, landmarks // 4))])
+        rows = np.r_[witness, some]
+        kernel, used, phi = landmark_map(w, rows, z, rarity)
+        values, vectors = np.linalg.eigh(phi.T @ phi)
         good = values > 1e-4 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
-        train = np.r_[witness, some]
-        kernel = np.empty((len(train), len(z)))
-        for lo in range(0, len(train), 512):
-            c, w = subsequences([words[i] for i in train[lo : lo + 512]])
-            x = np.zeros((len(c), len(used) + 1), np.float32)
-            np.add.at(x, (np.repeat(np.arange(len(c)), c.shape[1]), column[c].ravel()), w.ravel())
-            kernel[lo : lo + 512] = x[:, :-1] @ phi.T
-        x = np.c_[kernel @ root, np.ones(len(train))]
+        x = np.c_[kernel @ root, np.ones(len(rows))]
         y = np.r_[np.ones(len(witness)), -np.ones(len(some))]
-        beta = _squared_hinge(x, y, cost * np.r_[len(some) * times / times.sum(), np.ones(len(some))])
-        fold = (root @ beta[:-1]) @ phi
-        scorer = Scorer(used, fold, 1.0, -float(beta[-1]))
-        score = scorer.words(words) + float(beta[-1])
-    score = score - float(beta[-1])
-    best = np.array([score[m].max() if len(m) else -1e3 for m in members])
-    got = best[np.array([len(m) > 0 for m in members])]
-    labels = toxic[np.array([len(m) > 0 for m in members])]
-    tries = np.unique(np.quantile(got, np.linspace(0, 1, 400)))
-    middles = (tries[1:] + tries[:-1]) / 2 if len(tries) > 1 else tries
-    right = [((got >= c) == labels).mean() for c in middles]
-    top = np.flatnonzero(np.array(right) == max(right))
-    scorer.middle = float(middles[top[len(top) // 2]])
-    scorer.slope = 4.0
-    joined = np.full(len(docs), -np.inf)
-    for sums, whose, *_ in joins(scorer.table, ordered):
-        np.maximum.at(joined, whose, sums)
-    passed = joined[(toxic == 0) & (best < scorer.middle) & (joined > -np.inf)]
-    if len(passed):
-        scorer.less = max(0.0, float(np.quantile(passed, 0.998)) - scorer.middle)
-    return scorer
+        beta = _squared_hinge(x, y, cost * np.r_[np.full(len(witness), len(some) / len(witness)), np.ones(len(some))])
+        bias = float(beta[-1])
+        machine.table.real = 0
+        machine.table.real[used] = phi @ (root @ beta[:-1]) * np.sqrt(rarity[used])
+    got = machine.margins(texts)
+    order = np.argsort(got, kind="stable")
+    below = np.r_[got[order[0]] - 1, got[order], got[order[-1]] + 1]
+    right = np.r_[0, np.cumsum(1 - toxic[order])] + np.r_[np.cumsum(toxic[order][::-1])[::-1], 0]  # with the threshold between below[i] and below[i + 1]
+    right = np.where(below[1:] > below[:-1], right, -1)
+    best = np.flatnonzero(right == right.max())
+    machine.middle = float(below[best[0]] + below[best[-1] + 1]) / 2
+    return machine
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.ndarray:
@@ -288,38 +356,46 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int =
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = 4000, max_chars: int = 4_000) -> bytes | None:
-    """A pickled model fitted to the sentences of at most ``max_train`` labelled documents of at most ``max_chars`` characters; None without both labels."""
+    """A model fitted to the sentences of at most ``max_train`` labelled documents of at most ``max_chars`` characters; None without both labels.
+
+    ``allowed``: a condition on the labels' rows. Null labels and ids are left out; of several labels of an id the largest holds, of several texts the
+    least; null texts are empty; ties in the choice of documents are broken by id. Same tables, same model.
+    """
     sample = labelled_sample(docs.where(F.length(F.coalesce(F.col(text), F.lit(""))) <= max_chars), labels, label, allowed, max_train, key)
-    rows = sample.select("label", F.col(text).alias("text"), "labelled_id").dropDuplicates(["labelled_id"]).collect()
-    if len({r.label for r in rows}) < 2:
-        return None
+    rows = sample.groupBy("labelled_id").agg(F.max("label").alias("label"), F.min(F.coalesce(F.col(text), F.lit(""))).alias("text")).collect()
     rows = sorted(rows, key=lambda r: r.labelled_id)
-    docs_ = [[sorted(runs(s)) for s in _SENTENCE.split(r.text or "")] for r in rows]
-    toxic = np.array([int(r.label > 0) for r in rows])
-    if not any(any(s) for d, t in zip(docs_, toxic) if t for s in d) or not any(any(s) for d, t in zip(docs_, toxic) if not t for s in d):
+    if len({r.label > 0 for r in rows}) < 2:
+        return None
+    machine = _train([r.text for r in rows], np.array([int(r.label > 0) for r in rows]))
+    if machine is None:
         return None
-    scorer = _train(docs_, [words_of((r.text or "").lower()) for r in rows], toxic)
-    used = np.flatnonzero(scorer.table)
-    return pickle.dumps((used.astype(np.int32), scorer.table[used], scorer.slope, scorer.middle, scorer.less), 5)
+    rare = np.flatnonzero(machine.table.imag < 1).astype(np.int32)
+    used = np.flatnonzero(machine.table.real).astype(np.int32)
+    return zlib.compress(pickle.dumps((rare, machine.table.imag[rare], used, machine.table.real[used], machine.middle, machine.slope), 5), 1)
 
 
-_loaded: dict[bytes, Scorer] = {}
+_loaded: dict[bytes, Machine] = {}
 
 
-def _scorer(model: bytes) -> Scorer:
+def _machine(model: bytes) -> Machine:
     if model not in _loaded:
         _loaded.clear()
-        _loaded[model] = Scorer(*pickle.loads(model))
+        rare, rarity, used, weights, middle, slope = pickle.loads(zlib.decompress(model))
+        machine = Machine(np.ones(_SIZE, np.float32))
+        machine.table.imag[rare] = rarity
+        machine.table.real[used] = weights
+        machine.middle, machine.slope = middle, slope
+        _loaded[model] = machine
     return _loaded[model]
 
 
 def score_toxicity(docs: DataFrame, model: bytes | None, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), score: str = "score") -> DataFrame:
     """``keep`` and ``score``, the probability of label 1, for every whole text: that of its worst sentence; 0 without a model.
 
-    Words are compared by themselves and 2 to JOINED adjacent ones as one, so white space inside an insult doesn't hide it.
-    Null and empty texts, and those without letters, score 0; words of any length are compared in overlapping parts;
-    texts of any length are scored whole; repeated rows stay; an empty table gives an empty result. A column of
-    ``keep`` that has the name of ``score`` is replaced.
+    Sentences are compared letter by letter, and white space is a letter that may be skipped like any other, so an insult of several words, or one
+    split by white space, is found. Null and empty texts and those without letters have the least score there is; words and texts
+    of any length are scored whole; repeated rows stay; an empty table gives an empty result. A column of ``keep`` that has the name
+    of ``score`` is replaced.
     """
     own = [c for c in keep if c != score]
     schema = docs.select(*own).withColumn(score, F.lit(0.0)).schema
@@ -328,7 +404,7 @@ def score_toxicity(docs: DataFrame, model: bytes | None, *, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def probability(texts: list[str | None]) -> np.ndarray:
-            return _scorer(model).probability(_scorer(model).margins(texts)) if model else np.zeros(len(texts))
+            return _machine(model).probability(texts) if model else np.zeros(len(texts))
 
         for batch in scored_batches(batches, held, ["__text"], probability):
             yield batch.rename_columns(schema.names)
