@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on small tables with nulls, ties, repeats and odd texts."""
 
+import functools
 import html
 import itertools
 import re
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verbatrix.llm import packing, tokens, toxicity
 from verbatrix.llm import queries as q
 from verbatrix.llm.components import connected_components
 from verbatrix.llm.embed_dedup import Quantised, near_duplicate_vectors
@@ -20,8 +22,7 @@ from verbatrix.llm.mixing import mix_sources, pfair, schedule, shares
 from verbatrix.llm.packing import cuts, pack_documents, padding
 from verbatrix.llm.quality_fm import FactorisationMachine, score_quality, train_quality
 from verbatrix.llm.simhash import ball, fingerprint, fingerprint_links, simhash_groups
-from verbatrix.llm.token_orc import read_tokens, token_digests, write_token_orc
-from verbatrix.llm import toxicity
+from verbatrix.llm.token_orc import SCHEMA, read_tokens, token_digests, write_token_orc
 from verbatrix.llm.toxicity import score_toxicity, train_toxicity, windows_of
 from verbatrix.llm.url_rules import judge_urls
 
@@ -168,10 +169,15 @@ def test_topk(spark):
     assert top_products(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
-def plain_tokens(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(q.tokenizer_path())
+    return Tokenizer.from_file(q.tokenizer_path())
+
+
+def plain_tokens(text):
+    t = library()
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -193,6 +199,63 @@ def test_token_files(spark, docs, tmp_path):
     some = read_tokens(spark, path, [7, 103])
     assert sorted(r.doc_id for r in some.collect()) == [7, 103] and "PushedFilters: [In(doc_id" in some._jdf.queryExecution().toString()
     write_token_orc(docs.limit(0), f"{path}-empty", tokenizer_path=q.tokenizer_path())
+    assert token_digests(spark, f"{path}-empty").count() == read_tokens(spark, f"{path}-empty").count() == 0
+    clash = docs.withColumns({c: F.lit("x") for c in ("tie", "task", "local_start", "token_ids", "order0")})
+    write_token_orc(clash, f"{path}-clash", tokenizer_path=q.tokenizer_path())
+    assert sorted(map(str, token_digests(spark, f"{path}-clash").collect())) == sorted(map(str, got))
+
+
+def test_token_starts_over_many_files(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/orc"
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 7)
+    try:
+        write_token_orc(docs, path, tokenizer_path=q.tokenizer_path())
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert len(list((tmp_path / "orc").glob("*.orc"))) >= 10
+    at = 0
+    for r in sorted(token_digests(spark, path).collect(), key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    for k, task in enumerate((9, 99999, 100000, 1234567)):
+        spark.createDataFrame([(k, 0, 1, [k])], SCHEMA).coalesce(1).write.orc(f"{path}-{k}")
+        next((tmp_path / f"orc-{k}").glob("*.orc")).rename((tmp_path / "many").mkdir(exist_ok=True) or tmp_path / "many" / f"part-{task:05}-x-c000.snappy.orc")
+    assert sorted((r.doc_id, r.start) for r in token_digests(spark, f"file://{tmp_path}/many").collect()) == [(k, k) for k in range(4)]
+
+
+def test_token_files_have_stripes_indexes_and_filters(spark, tmp_path):
+    rng = np.random.default_rng(22)
+    texts = [" ".join(rng.choice(WORDS, 150)) for _ in range(100)]
+    rows = docs_of(spark, [(i, texts[i % 100], "s") for i in range(24_000)])
+    write_token_orc(rows, f"file://{tmp_path}/orc", tokenizer_path=q.tokenizer_path(), stripe_mb=1)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    stripes = 0
+    for f in (tmp_path / "orc").glob("*.orc"):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        records = reader.rows()
+        for stripe in reader.getStripes():
+            footer = records.readStripeFooter(stripe).toString()
+            assert "kind: ROW_INDEX" in footer and "kind: BLOOM_FILTER_UTF8" in footer
+            stripes += 1
+    assert stripes > len(list((tmp_path / "orc").glob("*.orc")))
+    assert token_digests(spark, f"file://{tmp_path}/orc").count() == 24_000
+
+
+def test_tokens_are_those_of_the_library(monkeypatch):
+    t = tokens.CachedTokenizer(q.tokenizer_path())
+    parts = ["a", "b.", "\n", " ", "'s", "é", "1", "“", "x(y)", "<|endoftext|>"]
+    texts = ["".join(p) for p in itertools.product(parts, repeat=4)] + ["hello <|endoftext|> world", "a\nb c\n\nd", "𝐢𝐝 ok", " " + "ñ" * 30, "it's we'll", "12,345.6 x", None, ""]
+    for got, text in zip(t.documents(texts, 7), texts, strict=True):
+        assert got.tolist() == [*plain_tokens(text)[:-1], 7], text
+    assert 50256 in t.documents(["hello <|endoftext|> world"], 0)[0]
+    rng = np.random.default_rng(23)
+    long = " ".join("".join(rng.choice(list("abcdefgh\n.é"), int(rng.integers(1, 12)))).strip() or "x" for _ in range(3000))
+    monkeypatch.setattr(tokens, "_AT_ONCE", 500)
+    monkeypatch.setattr(tokens, "_PLACES", 1 << 10)  # forgets often
+    small = tokens.CachedTokenizer(q.tokenizer_path())
+    for got, text in zip(small.documents([long, "x", None, long[:100]], 0), [long, "x", None, long[:100]]):
+        assert got.tolist() == plain_tokens(text)
 
 
 def test_packing(spark, docs):
@@ -212,6 +275,8 @@ def test_packing(spark, docs):
     assert set(pieces) == set(ids)
     pad = sum(padding(sum(r.length for r in own), 1024) for own in seqs.values())
     assert pad < 1024 * 5  # one short sequence a range
+    clash = docs.withColumns({c: F.lit("x") for c in ("tie", "order0", "start", "sequence_id")})
+    assert pack_documents(clash, tokenizer_path=q.tokenizer_path(), chunk=3000).agg(F.sum("length"), F.sum("ids_crc32")).first() == pack_documents(docs, tokenizer_path=q.tokenizer_path(), chunk=3000).agg(F.sum("length"), F.sum("ids_crc32")).first()
     assert pack_documents(docs.limit(0), tokenizer_path=q.tokenizer_path()).count() == 0
 
 
@@ -223,12 +288,37 @@ def test_cuts_are_the_cheapest():
         got = cuts(places, costs, 16)
 
         def cost(path):
-            return sum(costs[b] + 4 + padding(int(places[b] - places[a]), 16) for a, b in zip(path, path[1:]))
+            return sum(costs[b] + packing.SEQUENCE + padding(int(places[b] - places[a]), 16) for a, b in zip(path, path[1:]))
 
         all_ = [[0, *c, 12] for n in range(12) for c in itertools.combinations(range(1, 12), n)]
         assert cost(got) == min(cost(p) for p in all_ if all(places[b] - places[a] <= 16 for a, b in zip(p, p[1:])))
 
 
+def test_packing_is_the_cheapest(spark, docs):
+    """One range and one chunk, against a quadratic search over the same places."""
+    some = docs.where("doc_id is not null").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        got = pack_documents(some, tokenizer_path=q.tokenizer_path(), size=128).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    own = [np.array(plain_tokens(r.text), np.uint32) for r in sorted(some.withColumn("tie", F.xxhash64("text")).collect(), key=lambda r: (r.doc_id, r.tie))]
+    ids, ends = np.concatenate(own), np.cumsum([len(x) for x in own])
+    places, costs = packing.candidates(ids, ends, *tokens.sentence_ends(q.tokenizer_path()), 128)
+    best = [0.0] + [np.inf] * (len(places) - 1)
+    for i in range(1, len(places)):
+        j = i - 1
+        while j >= 0 and places[i] - places[j] <= 128:
+            best[i] = min(best[i], best[j] + costs[i] + packing.SEQUENCE + padding(int(places[i] - places[j]), 128))
+            j -= 1
+    cost = dict(zip(places.tolist(), costs))
+    lengths = {}
+    for r in got:
+        lengths[r.sequence_id] = lengths.get(r.sequence_id, 0) + r.length
+    cut = np.cumsum([lengths[k] for k in sorted(lengths)]).tolist()
+    assert sum(cost[p] + packing.SEQUENCE for p in cut) + sum(padding(n, 128) for n in lengths.values()) == pytest.approx(best[-1])
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from .tokens import sentence_ends, tokenizer
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-#: Costs in tokens: of a cut after a sentence, of one inside a sentence, of each sequence.
-SENTENCE, INSIDE, SEQUENCE = 2.0, 8.0, 4.0
-#: Where no sentence ends for GAP tokens, cuts are allowed after every STEP, and a full sequence after the end of a document or of every fourth sentence.
+#: Costs in tokens: of a cut after a sentence, of one inside a sentence, of each sequence, and, on top, of a cut in a document that fits one sequence.
+SENTENCE, INSIDE, SEQUENCE, FITTING = 2.0, 8.0, 8.0, 64.0
+#: Where no sentence ends for GAP tokens, cuts are allowed after every STEP, and a full sequence after the end of a document or of every fourth sentence,
+#: or so that the next sequence ends with a document after SIZE, SIZE / 2 or SIZE / 4 tokens.
 GAP, STEP = 64, 32
 
 
@@ -69,7 +70,7 @@ def cuts(places: np.ndarray, costs: np.ndarray, size: int) -> list[int]:
 
 
 def candidates(ids: np.ndarray, ends: np.ndarray, may_end: np.ndarray, may_begin: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a cut is allowed (with 0) and their costs. ``ends``: where documents end."""
+    """Places where a cut is allowed (with 0) and their costs. ``ends``: where documents end. The first document counts as what is left of it."""
     n = len(ids)
     known = ids < len(may_end)
     after = np.zeros(n + 1, bool)
@@ -81,9 +82,13 @@ def candidates(ids: np.ndarray, ends: np.ndarray, may_end: np.ndarray, may_begin
     gaps = np.flatnonzero(np.diff(places) > GAP)
     if len(gaps):
         cost[np.concatenate([np.arange(places[g] + STEP, places[g + 1], STEP) for g in gaps])] = INSIDE
-    some = np.union1d(places[::4], np.r_[0, ends])
-    full = some[some + size < n] + size
+    full = np.concatenate([np.union1d(places[::4], np.r_[0, ends]) + size, *(ends - (size >> k) for k in range(3))])
+    full = full[(full > 0) & (full < n)]
     cost[full] = np.minimum(cost[full], INSIDE)
+    length = np.diff(np.r_[0, ends])
+    inside = np.repeat(length <= size, length)
+    inside[np.r_[0, ends[:-1]]] = False
+    cost[:n][inside] += FITTING
     places = np.flatnonzero(np.isfinite(cost))
     return places, cost[places]
 
@@ -133,14 +138,15 @@ def _pack(path: str, end_id: int, size: int, chunk: int):
 
         waiting = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                ids = encode.document(text.as_py(), end_id)
-                held.append((doc.as_py(), 0, ids, len(ids)))
-                waiting += len(ids)
-                if waiting >= chunk:
-                    if rows := list(packed(False)):
-                        yield batch_of(rows)
-                    waiting = 0
+            for lo in range(0, batch.num_rows, 256):
+                texts, docs = (batch.column(i).slice(lo, 256).to_pylist() for i in (1, 0))
+                for doc, ids in zip(docs, encode.documents(texts, end_id)):
+                    held.append((doc, 0, ids, len(ids)))
+                    waiting += len(ids)
+                    if waiting >= chunk:
+                        if rows := list(packed(False)):
+                            yield batch_of(rows)
+                        waiting = 0
         if rows := list(packed(True)):
             yield batch_of(rows)
 
@@ -150,16 +156,17 @@ def _pack(path: str, end_id: int, size: int, chunk: int):
 def pack_documents(docs: DataFrame, *, tokenizer_path: str, order: tuple = ("doc_id",), key: str = "doc_id", text: str = "text", end_id: int = 0, size: int = 1024, chunk: int = 262_144) -> DataFrame:
     """A row for each piece of a document in a sequence of at most ``size`` tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Documents keep the order of the columns ``order``. Sequences are cut at ends of documents or sentences, or,
-    where neither comes for GAP tokens, inside one, so that padding plus the costs of cuts is least. Each range
-    of the order is packed by one task, which holds about ``chunk`` tokens (and the document at hand): the cuts of
+    Documents keep the order of the columns ``order`` (equal ones by a hash of their texts). Sequences are cut at ends of
+    documents or sentences, or, where neither comes for GAP tokens or a full sequence or the next document's end asks for it,
+    inside one, so that padding plus the costs of cuts is least among these places. A document that fits one sequence is cut only where
+    that saves FITTING tokens or so. Each range of the order is packed by one task, which holds about ``chunk`` tokens (and the document at hand): the cuts of
     a chunk are final but for its last sequence, which goes on into the next. A range ends with one short sequence.
 
     A null or empty text is just ``end_id``; null and repeated keys are kept; a document over ``size`` is cut into
-    several pieces; an empty table gives an empty result; other columns are not read.
+    several pieces; an empty table gives an empty result; other columns, whatever their names, are not read.
     """
     at = [F.col(c) if isinstance(c, str) else c for c in order]
-    names = [f"order{i}" for i in range(len(at))]
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *[c.alias(n) for c, n in zip(at, names)])
+    names = [f"order{i}" for i in range(len(at))] + ["tie"]
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *[c.alias(n) for c, n in zip(at, names)], F.xxhash64(F.col(text)).alias("tie"))
     ranged = rows.repartitionByRange(*names).sortWithinPartitions(*names).select("doc_id", "text")
     return ranged.mapInArrow(_pack(tokenizer_path, end_id, size, chunk), SCHEMA)
