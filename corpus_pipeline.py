@@ -48,7 +48,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents, in their stored order, in sequences of at most 1024 tokens: a row for each piece."""
-    order = (F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    file = F.col("_metadata.file_name")
+    order = (F.regexp_extract(file, r"part-(\d+)", 1).try_cast("long"), file, F.col("_metadata.row_index"))
     return pack_documents(docs, tokenizer_path=q.tokenizer_path(), order=order, end_id=0, size=1024)
 
 
