@@ -36,9 +36,13 @@ _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
 
 class Line(NamedTuple):
-    text: str
+    text: str  # of a marked line, which is never given out: MARK and a checksum
     article: bool  # inside <article>, <main> or role=main
     prose: bool  # of an element that holds prose
+    marked: bool = False  # in an element that is marked as not of the article
+
+
+MARK = "\0"
 
 
 def _marks(attributes: str) -> tuple[bool, bool]:
@@ -61,27 +65,31 @@ def _marks(attributes: str) -> tuple[bool, bool]:
 
 
 def lines_of(page: str | None) -> list[Line]:
-    """The lines of a page, without elements that are marked as not of the article. Unclosed elements end with the one around them."""
+    """The lines of a page; those of elements marked as not of the article come after what else their block has. Unclosed elements end with the one around them."""
     if not page:
         return []
     out: list[Line] = []
     words: list[str] = []
+    aside: list[str] = []  # of marked elements
     stack: list[tuple[str, bool, bool]] = []  # name, dropped, article: of the element or one around it
     prose = False
 
     def end_line() -> None:
         nonlocal prose
         if words and (text := " ".join(html.unescape("".join(words)).split())):
-            out.append(Line(text, bool(stack) and stack[-1][2], prose))
+            out.append(Line(text.replace(MARK, ""), bool(stack) and stack[-1][2], prose))
+        if aside and (text := " ".join(html.unescape("".join(aside)).split())):
+            out.append(Line(f"{MARK}{zlib.crc32(text.encode('utf-8', 'replace')):x}", bool(stack) and stack[-1][2], False, True))
         words.clear()
+        aside.clear()
         prose = any(n in _PROSE for n, *_ in stack)
 
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         to = m.start() if m else n
-        if to > at and not (stack and stack[-1][1]):
-            words.append(page[at:to])
+        if to > at:
+            (aside if stack and stack[-1][1] else words).append(page[at:to])
         if not m:
             break
         at = max(m.end(), to + 1)
@@ -116,7 +124,7 @@ def lines_of(page: str | None) -> list[Line]:
                 while stack and stack[-1][0] == "p":
                     stack.pop()
         elif name == "br":
-            words.append(" ")
+            (aside if stack and stack[-1][1] else words).append(" ")
         if name in _VOID or m[3].endswith("/") and name not in _BLOCK:
             continue
         dropped, main = _marks(m[3])
@@ -205,7 +213,8 @@ LOOK, HELD = 4, 16_000_000
 
 
 def _letters(lines: Iterable[str]) -> int:
-    return sum(map(len, lines))
+    """Marked lines don't count: copies may come with other menus and adverts."""
+    return sum(len(t) for t in lines if not t.startswith(MARK))
 
 
 def _both_differ(a: list[str], b: list[str], same: list[int]) -> bool:
@@ -240,8 +249,7 @@ def same_run(a: list[str], b: list[str]) -> bool:
 
 
 def _text_without(page: list[Line], shared: set[int]) -> str:
-    safe = {i for i, x in enumerate(page) if x.article and x.prose}
-    kept = [i for i in range(len(page)) if i in safe or i not in shared]
+    kept = [i for i, x in enumerate(page) if not x.marked and (i not in shared or x.article and x.prose)]
     if any(page[i].article for i in kept):
         kept = [i for i in kept if page[i].article]
     return "\n\n".join(page[i].text for i in kept)
@@ -250,18 +258,23 @@ def _text_without(page: list[Line], shared: set[int]) -> str:
 def main_text(page: list[Line], neighbours: list[list[Line]]) -> str:
     """The lines that no neighbour shares, in page order.
 
-    Prose of a declared article stays even if shared, as articles quote one another; where an article is declared
+    Lines of elements that are marked as not of the article take part in the comparison but go even if unshared. Prose of a
+    declared article stays even if shared, as articles quote one another; where an article is declared
     and has text, unshared lines outside it are dropped too. A neighbour that is a copy (:func:`template_lines`)
     isn't used.
     """
     own = [x.text for x in page]
     shared: set[int] = set()
-    if not all(x.article and x.prose for x in page):
+    if any(not x.marked for x in page):
         for other in neighbours:
             shared |= template_lines(own, [x.text for x in other]) or set()
     return _text_without(page, shared)
 
 
+def _has_text(page: list[Line]) -> bool:
+    return any(not x.marked for x in page)
+
+
 class _Waiting(NamedTuple):
     row: tuple
     page: list[Line]
@@ -327,15 +340,12 @@ class Sweep:
         self.last = lines
 
     def page(self, row: tuple, host: str | None, page: list[Line]) -> Iterator[tuple]:
-        """Takes a page; a page without lines is nobody's neighbour."""
-        if not page:
+        """Takes a page; a page without unmarked lines is nobody's neighbour."""
+        if not _has_text(page):
             yield (*row, "")
             return
         lines = [x.text for x in page]
         yield from self.begin(host, lines)
-        if all(x.article and x.prose for x in page):
-            yield (*row, _text_without(page, set()))
-            return
         before = next((got for r in self.runs if (got := template_lines(lines, r)) is not None), set())
         self.held.add(_Waiting(row, page, before, LOOK))
 
@@ -363,7 +373,7 @@ def edge_of(pages: Iterable[tuple[str, list[Line]]]) -> Edge | None:
     runs: deque[list[str]] = deque(maxlen=LOOK)
     whole = True
     for now, page in pages:
-        if not page:
+        if not _has_text(page):
             continue
         lines = [x.text for x in page]
         if last is None:
@@ -416,13 +426,13 @@ def _unpack(x: bytes):
 
 def _pack_lines(page: list[Line]) -> bytes:
     """A text line each (they hold no line ends), and a last one of a digit each."""
-    text = "\n".join([*(x.text for x in page), "".join(str(2 * x.article + x.prose) for x in page)])
+    text = "\n".join([*(x.text for x in page), "".join(str(4 * x.marked + 2 * x.article + x.prose) for x in page)])
     return zlib.compress(text.encode("utf-8", "surrogatepass"), 6)
 
 
 def _unpack_lines(blob: bytes) -> list[Line]:
     *lines, marks = zlib.decompress(blob).decode("utf-8", "surrogatepass").split("\n")
-    return [Line(t, m in "23", m in "13") for t, m in zip(lines, marks, strict=True)]
+    return [Line(t, m in "2367", m in "1357", m in "4567") for t, m in zip(lines, marks, strict=True)]
 
 
 def _pages(batch: pa.RecordBatch) -> Iterator[tuple[str, list[Line]]]:
@@ -439,7 +449,8 @@ def extract_main_text(pages: DataFrame, *, url: str = "url", page: str = "html",
     driver, and only where a host crosses its edge), so the texts don't depend on the number of ranges. Copies wait
     for the page after them, in a file if they are many.
 
-    Null pages and pages without text give '' and are nobody's neighbours; null urls have an empty host and are one
+    Lines of menus, adverts and the like, told by tag, role or class, are compared too and then dropped: which lines go is
+    decided by both, neighbours and marks. Null pages and pages without text give '' and are nobody's neighbours; null urls have an empty host and are one
     another's neighbours; repeated rows stay; an empty table gives an empty result; broken markup is read as far as it
     goes; a column of ``keep`` named like ``out`` is replaced.
     """
@@ -476,7 +487,7 @@ def extract_main_text(pages: DataFrame, *, url: str = "url", page: str = "html",
             for batch in batches:
                 fields[:] = [batch.schema.field(c) for c in own] + [pa.field(out, pa.string())]
                 for values, (host, page) in zip(zip(*(batch.column(c) for c in own)) if own else repeat(()), _pages(batch)):
-                    if page and not started:
+                    if not started and _has_text(page):
                         sweep.host, sweep.last, started = host, before[0], True
                         sweep.runs.extend(before[1])
                     yield from sweep.page(tuple(v.as_py() for v in values), host, page)
