@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pinned
-from .components import connected_components
+from .components import component_least, connected_components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # an odd constant: spreads keys over buckets
 _ALL_PAIRS = 16
@@ -70,15 +70,14 @@ def _emit(bits: int, radius: int, buckets: int, step: int):
             for lo in range(0, len(fps), step):
                 some = fps[lo : lo + step]
                 bucket = (((some >> np.uint64(64 - bits))[:, None] ^ masks[None, :]).ravel() * _MIX >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                order = np.argsort(bucket.astype(np.uint16), kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
+                bucket = bucket[order]
+                first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
                 whose, mask = np.divmod(order, len(masks))
                 out = []
-                for b in range(buckets):
-                    i, j = ends[b], ends[b + 1]
-                    if i < j:
-                        own, times = np.unique(whose[i:j], return_counts=True)
-                        out.append((b, len(own).to_bytes(4, "little") + some[own].astype("<u8").tobytes() + times.astype("<u2").tobytes() + mask[i:j].astype("<u2").tobytes()))
+                for i, j in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+                    own, times = np.unique(whose[i:j], return_counts=True)
+                    out.append((int(bucket[i]), len(own).to_bytes(4, "little") + some[own].astype("<u8").tobytes() + times.astype("<u2").tobytes() + mask[i:j].astype("<u2").tobytes()))
                 yield pd.DataFrame(out, columns=["bucket", "blob"])
 
     return run
@@ -140,12 +139,13 @@ def fingerprint_links(fps: DataFrame, n: int, *, most: int = 4, bucket_mb: int =
     Two such fingerprints have a variant in common when each flips at most half of ``most`` bits. The variants are
     shuffled by their leading bits only, which all variants with other trailing flips share, so that those are
     emitted once; the bits kept grow with log2(n) so that chance collisions stay rare, and every collision is
-    verified on all 64 bits. Variants travel packed, by hash bucket, so a group of near copies spreads over buckets.
+    verified on all 64 bits. Variants travel packed, by hash bucket, so a group of near copies spreads over buckets, whose number
+    grows with that of the variants (about ``bucket_mb`` each).
     """
     bits = min(64, max(20, math.ceil(math.log2(max(n, 2))) + 14))
     radius = most // 2 + most % 2
     masks = sum(math.comb(bits, k) for k in range(radius + 1))
-    buckets = max(1, min(1 << 15, n * masks * 3 // (bucket_mb << 20) + 1))
+    buckets = min((1 << 31) - 1, n * masks * 3 // (bucket_mb << 20) + 1)
     step = max(256, min(1 << 14, (1 << 21) // masks))
 
     def reduce(frame: pd.DataFrame) -> pd.DataFrame:
@@ -167,7 +167,7 @@ def simhash_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     own = pinned(fingerprints(docs, key=key, text=text, shingle=shingle, seed=seed))
     nodes = pinned(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = fingerprint_links(nodes, nodes.count(), most=most)
-    joined = nodes.join(connected_components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = joined.join(smallest, "component").select("fp", "component_id")
+    linked = component_least(connected_components(links), nodes.select(F.col("fp").alias("node"), "least"))
+    named = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+    named = named.select("fp", F.when(F.col("linked"), F.col("component_least")).otherwise(F.col("least")).alias("component_id"))
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
