@@ -144,6 +144,15 @@ def test_embedding_links(spark):
         for i, r in got.items():
             assert (r.n_links, r.component_id, r.kept) == (sum(i in p for p in pairs), want[i], want[i] == i), i
     assert near_duplicate_vectors(df.limit(0)).count() == 0
+    clash = df.withColumns({c: F.lit("x") for c in ("vec", "tile", "copies", "component", "bytes")})
+    assert sorted(map(tuple, near_duplicate_vectors(clash, tile_rows=13).collect())) == sorted(tuple(r) for r in got.values())
+
+
+def test_embedding_links_at_any_size(spark):
+    base = [[1.0, 2.0, -3.0, 0.5], [-1.0, 0.0, 2.0, 1.0]]
+    rows = [(10 * i + j, [x * s for x in v]) for j, v in enumerate(base) for i, s in enumerate((1.0, 1e200, 1e-200, 1e-310, 5e307))]
+    got = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted((i, 4, i % 10) for i, _ in rows)
 
 
 def test_quantised_bounds_are_safe():
@@ -169,6 +178,19 @@ def test_topk(spark):
     assert top_products(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    rng = np.random.default_rng(24)
+    rows = [(i, [float(x) for x in rng.integers(-(1 << 20), 1 << 20, 16)]) for i in range(40)]
+    rows += [(50 + i, [float(1 << 23) if j == i else float(x) for j, x in enumerate(rng.integers(-30, 30, 16))]) for i in range(10)] + [(70, [1e300] + [0.0] * 15), (71, [5e6] * 16), (72, [0.0] * 16)]
+    whole = {i: [int(np.floor(256 * x)) if abs(x) < 1e30 else int(x) * 256 for x in v] for i, v in rows}
+    whole[70] = None
+    want = {(i, k + 1, j, s) for i, x in whole.items() if i % 10 == 0 and x for k, (s, j) in enumerate(sorted(((sum(a * b for a, b in zip(x, y)), j) for j, y in whole.items() if y and j != i), key=lambda t: (-t[0], t[1]))[:5])}
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert {tuple(r) for r in top_products(df.where("vec_id <> 70"), F.col("vec_id") % 10 == 0, shard_rows=17, leaf=4).collect()} == want
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        top_products(df, F.col("vec_id") % 10 == 0).collect()
+
+
 @functools.cache
 def library():
     from tokenizers import Tokenizer

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,53 +12,85 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pinned
-from .components import connected_components
+from .components import component_least, connected_components
 from .vectors import matrix_rows
 
 
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """vec_id and the vector's bytes (doubles), null for vectors that take no part."""
     for batch in batches:
-        out = [None if v is None or not len(v) or not np.any(v) or not np.isfinite(np.dot(v, v)) or np.dot(v, v) == 0 else (v + 0.0).tobytes() for v in matrix_rows(batch.column(1))]
+        out = [None if v is None or not np.any(v) else (v + 0.0).tobytes() for v in matrix_rows(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "vec"])
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. They are scaled by powers of two first, so no finite row's squares over- or underflow."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    x = np.ldexp(x, -exponent)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class Quantised:
     """Unit rows as int8 with one scale for the tile, and for each row the norms of what is stored and of the error."""
 
     def __init__(self, x: np.ndarray):
-        self.unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        self.unit = unit_rows(x)
         self.scale = 127 / np.abs(self.unit).max()
         self.q = np.rint(self.unit * self.scale).astype(np.int8)
         stored = self.q / self.scale
         self.size = np.linalg.norm(stored, axis=1)
         self.error = np.linalg.norm(self.unit - stored, axis=1)
 
+    def packed(self) -> bytes:
+        """Without the unit rows."""
+        return pickle.dumps((self.scale, self.q, self.size.astype(np.float32), np.nextafter(self.error.astype(np.float32), np.float32(9))), 5)
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Quantised:
+        out = cls.__new__(cls)
+        out.scale, out.q, out.size, out.error = pickle.loads(blob)
+        return out
+
     def least_product(self, other: Quantised, threshold: float) -> np.ndarray:
         """For each row: an integer product with a row of ``other`` below this proves a cosine below ``threshold``.
 
         <u, v> = <u' + e, v' + f> <= <u', v'> + |u'||f| + |e||v'| + |e||f|, with |f| and |v'| at most ``other``'s largest.
         """
         most_f, most_v = other.error.max(), other.size.max()
-        return (threshold - 1e-9 - self.size * most_f - self.error * most_v - self.error * most_f) * self.scale * other.scale - 0.5
+        return (threshold - 1e-6 - self.size * most_f - self.error * most_v - self.error * most_f) * self.scale * other.scale - 0.5
 
 
-def tile_links(a: Quantised, b: Quantised, threshold: float, same: bool, rows: int = 512) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, links) by stretch of ``a``'s rows: a boolean block against all rows of ``b``, None where no link is.
+def _products(a: Quantised, b: Quantised, threshold: float, same: bool, rows: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, open pairs) by stretch of ``a``'s rows: those that the bounds don't rule out, where there are any.
 
-    Products of int8 values are exact in single precision (up to 1,000 dimensions; else double is used). Pairs
-    that the bounds leave open are computed in double precision: one by one, or as a block where they are many.
+    Products of int8 values are exact in single precision (up to 1,000 dimensions; else double is used).
     """
     kind = np.float32 if a.q.shape[1] * 127 * 127 < 1 << 24 else np.float64
     qb, least = b.q.astype(kind).T, a.least_product(b, threshold)
     for lo in range(0, len(a.q), rows):
-        product = a.q[lo : lo + rows].astype(kind) @ qb
-        open_ = product >= least[lo : lo + rows, None]
+        open_ = a.q[lo : lo + rows].astype(kind) @ qb >= least[lo : lo + rows, None]
         if same:
             np.fill_diagonal(open_[:, lo:], False)
+        if open_.any():
+            yield lo, open_
+
+
+def open_rows(a: Quantised, b: Quantised, threshold: float, same: bool, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``a`` and of ``b`` that are in an open pair."""
+    mine, theirs = np.zeros(len(a.q), bool), np.zeros(len(b.q), bool)
+    for lo, open_ in _products(a, b, threshold, same, rows):
+        mine[lo : lo + rows] |= open_.any(1)
+        theirs |= open_.any(0)
+    return np.flatnonzero(mine), np.flatnonzero(theirs)
+
+
+def tile_links(a: Quantised, b: Quantised, threshold: float, same: bool, rows: int = 512) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, links) by stretch of ``a``'s rows: a boolean block against all rows of ``b``, None where no link is.
+
+    Open pairs are computed in double precision: one by one, or as a block where they are many.
+    """
+    for lo, open_ in _products(a, b, threshold, same, rows):
         count = np.count_nonzero(open_)
-        if not count:
-            continue
         if count * 50 > open_.size:
             open_ &= (a.unit[lo : lo + rows] @ b.unit.T) >= threshold
         else:
@@ -68,6 +101,28 @@ def tile_links(a: Quantised, b: Quantised, threshold: float, same: bool, rows: i
         yield lo, open_
 
 
+def _build(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values("node")
+    x = np.frombuffer(b"".join(frame["vec"]), "<f8").reshape(len(frame), -1)
+    return pd.DataFrame({"bytes": frame["bytes"].iloc[:1], "tile": frame["tile"].iloc[:1], "nodes": [frame["node"].to_numpy()], "blob": [Quantised(x).packed()]})
+
+
+def _screen(threshold: float):
+    """For each pair of tiles: the nodes in open pairs, with their tile."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for size, lo, hi, nodes, blob, others, other in frame[["bytes", "lo", "hi", "nodes", "blob", "others", "other"]].itertuples(index=False):
+                tiles = [Quantised.unpacked(blob)] + ([Quantised.unpacked(other)] if lo != hi else [])
+                mine, theirs = open_rows(tiles[0], tiles[-1], threshold, lo == hi)
+                found = [(lo, nodes[mine])] + ([(hi, others[theirs])] if lo != hi else [])
+                for tile, some in found:
+                    if len(some):
+                        yield pd.DataFrame({"bytes": np.int32(size), "lo": np.int32(lo), "hi": np.int32(hi), "tile": np.int32(tile), "node": some})
+
+    return run
+
+
 def _compare(threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         lo, hi = frame["lo"].iloc[0], frame["hi"].iloc[0]
@@ -92,15 +147,16 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, *, key: str = "vec_id", vec: str = "embedding", threshold: float = 0.9, tile_rows: int = 6144) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, *, key: str = "vec_id", vec: str = "embedding", threshold: float = 0.9, tile_rows: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row per vector: vectors link at a cosine of ``threshold`` or more.
 
     Equal vectors are one node with a number of copies, so copies are never paired. The nodes are dealt to tiles
-    of about ``tile_rows``; every pair of tiles is one task's work, in bounded memory: it returns each node's
-    number of links and the edges of a spanning forest, not the pairs. All tiles meet, so the products grow with
-    the square of the distinct vectors, and each node is shuffled once for every tile.
+    of about ``tile_rows``, each a row of int8 values and error bounds. Every pair of tiles is screened in bounded memory by their
+    integer products; of the nodes that are in a pair which the bounds leave open, and of those only, the doubles are then fetched, tile
+    pair by tile pair. That returns each node's number of links and the edges of a spanning forest, not the pairs. All tiles meet,
+    so the products grow with the square of the distinct vectors, and a byte a component is shuffled once for every tile.
 
-    Null, empty and zero vectors and those with null or non-finite components link with nothing. Vectors of
+    Null, empty and zero vectors and those with null or non-finite components link with nothing; finite ones link however large or small. Vectors of
     different lengths don't link. Rows that repeat an id are vectors of their own; a null id counts as no id
     in component_id. An empty table gives an empty result; other columns are not read.
     """
@@ -110,14 +166,17 @@ def near_duplicate_vectors(vectors: DataFrame, *, key: str = "vec_id", vec: str
     nodes = pinned(nodes.withColumn("node", F.monotonically_increasing_id()))
     tiles = max(1, -(-nodes.count() // tile_rows))
     tiled = nodes.select("node", "copies", "vec", F.length("vec").alias("bytes"), F.pmod(F.xxhash64("node"), F.lit(tiles)).cast("int").alias("tile"))
-    pairs = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    pairs = pairs.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})
-    found = pinned(pairs.groupBy("bytes", "lo", "hi").applyInPandas(_compare(threshold), "node bigint, links bigint, root bigint"))
+    blobs = pinned(tiled.groupBy("bytes", "tile").applyInPandas(_build, "bytes int, tile int, nodes array<bigint>, blob binary"))
+    left = blobs.select("bytes", F.col("tile").alias("lo"), "nodes", "blob", F.explode(F.sequence(F.col("tile"), F.lit(tiles - 1))).alias("hi")).repartition("bytes", "lo", "hi")
+    pairs = left.join(blobs.select("bytes", F.col("tile").alias("hi"), F.col("nodes").alias("others"), F.col("blob").alias("other")).hint("shuffle_hash"), ["bytes", "hi"])
+    open_ = pinned(pairs.mapInPandas(_screen(threshold), "bytes int, lo int, hi int, tile int, node bigint"))
+    fetched = open_.join(nodes.select("node", "copies", "vec"), "node")
+    found = pinned(fetched.groupBy("bytes", "lo", "hi").applyInPandas(_compare(threshold), "node bigint, links bigint, root bigint"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = nodes.select("node", "vec", "copies", "least").join(links, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "component").select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    parts = component_least(connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), nodes.select("node", "least"))
+    named = nodes.select("node", "vec", "copies", "least").join(links, "node", "left").join(parts, "node", "left")
+    least = F.when(F.col("linked"), F.col("component_least")).otherwise(F.col("least"))
+    named = named.select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), least.alias("component_id"))
     linked = rows.where("vec is not null").join(named, "vec").select("vec_id", "n_links", "component_id")
     alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
