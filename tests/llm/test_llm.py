@@ -3,8 +3,10 @@
 import functools
 import html
 import itertools
+import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -18,7 +20,7 @@ from verbatrix.llm.components import connected_components
 from verbatrix.llm.embed_dedup import Quantised, near_duplicate_vectors
 from verbatrix.llm.html_diff import common_lines, extract_main_text, lines_of, main_text
 from verbatrix.llm.kd_topk import top_products
-from verbatrix.llm.mixing import mix_sources, pfair, schedule, shares
+from verbatrix.llm.mixing import earliest_deadlines, mix_sources, schedule, whole_weights
 from verbatrix.llm.packing import cuts, pack_documents, padding
 from verbatrix.llm.quality_fm import FactorisationMachine, score_quality, train_quality
 from verbatrix.llm.simhash import ball, fingerprint, fingerprint_links, simhash_groups
@@ -69,14 +71,21 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([(1, 1), (None, 2)], "a bigint, b bigint")).count() == 0
 
 
-def test_pfair_keeps_every_source_within_a_block():
-    for parts in (shares([5, 3, 1, 1], 64), shares([1], 16), shares([100, 1, 1], 50), shares([0, 0], 8)):
-        n = sum(parts)
-        slots = pfair(parts)
-        assert sorted(itertools.chain(*slots)) == list(range(n))
-        for a, own in zip(parts, slots):
-            for t in range(n + 1):
-                assert abs(sum(x < t for x in own) - a * t / n) < 1
+def test_slots_are_those_of_earliest_deadlines():
+    """Against a plain search over all blocks with fractions, and the deviation from the weights."""
+    for weights in ([5, 3, 1, 1], [1.0], [100, 1, 1], [0, 0], [0.5, 1 / 3, 1e-3], [1e6, 100]):
+        parts = whole_weights(weights)
+        n, given = sum(parts), [0] * len(parts)
+        share = [Fraction(a, n) for a in parts]
+        for t, (i, k, release, due) in enumerate(itertools.islice(earliest_deadlines(parts), 400)):
+            waiting = [(-(-Fraction(given[j] + 1) // f), j) for j, f in enumerate(share) if f and Fraction(given[j]) / f // 1 <= t]
+            waiting = [(math.ceil((given[j] + 1) / share[j]), j) for _, j in waiting]
+            assert (due, i) == min(waiting) and k == given[i] and release == math.floor(k / share[i]) <= t < due
+            given[i] += 1
+            assert all(abs(g - f * (t + 1)) < 1 for g, f in zip(given, share))
+    parts = whole_weights([1e6, 100])
+    small = [t for t, (i, *_) in enumerate(itertools.islice(earliest_deadlines(parts), 200_000)) if i]
+    assert all(abs(k + 1 - (t + 1) * 100 / 1_000_100) < 1 for k, t in enumerate(small)) and len(small) in (19, 20)
 
 
 def test_mixing(spark, docs):
@@ -90,6 +99,12 @@ def test_mixing(spark, docs):
     for s in {x[1] for x in by_slot}:
         assert [x[2] for x in by_slot if x[1] == s] == sorted(x[2] for x in by_slot if x[1] == s)
     assert mix_sources(docs.limit(0)).count() == 0
+    few = mix_sources(docs, block_docs=2, max_blocks=9).collect()
+    assert sorted(r.mix_position for r in few) == list(range(docs.count())) and len({r.mix_slot for r in few}) <= 9 + 5
+    odd = spark.createDataFrame([(None, s) for s in (None, "n", "\0null", "s", "")] * 3, "doc_id bigint, source string")
+    assert {(r.mix_source, r["count"]) for r in mix_sources(odd, {None: 2, "n": 0}).groupBy("mix_source").count().collect()} == {(s, 3) for s in (None, "n", "\0null", "s", "")}
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 1500).alias("source"))
+    assert sorted(r.mix_position for r in mix_sources(many).collect()) == list(range(3000))
     clash = mix_sources(docs.withColumns({"mix_slot": F.lit("x"), "src": F.lit(1), "rank": F.lit(2), "row": F.lit(3)}))
     assert dict(clash.dtypes)["mix_slot"] == "bigint" and clash.count() == docs.count()
 
@@ -625,19 +640,62 @@ def test_waiting_pages_go_to_a_file(monkeypatch):
     assert sorted(i for i, _ in got) == list(range(51)) and not any(SITE[0] in t for _, t in got)
 
 
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("corpus")
     rng = np.random.default_rng(12)
     docs, labels = labelled(spark, rng)
     docs = docs.union(docs_of(spark, [(1000 + i, r.text, "s") for i, r in enumerate(docs.where("doc_id % 20 = 2").collect())]))
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    labels.write.parquet(f"{tmp_path}/labels.parquet")
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    return str(path), docs, labels
+
+
+def test_pipeline(spark, corpus):
+    import corpus_pipeline
+
+    path, docs, labels = corpus
+    got = corpus_pipeline.run(spark, path).collect()
     kept = {r.doc_id for r in got}
     truth = {r.doc_id: r for r in labels.collect()}
     assert not any(i >= 1000 for i in kept)
     assert np.mean([(i in kept) == bool(t.quality and not t.toxic) for i, t in truth.items()]) > 0.95
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near duplicates", "mixing", "packing"]
-    for stage in (f for n, f in corpus_pipeline.STAGES[:-1]):
-        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_pipeline_stages_on_odd_rows(spark, corpus, tmp_path):
+    """Nulls, empty tables, repeated ids and rows, clashing columns."""
+    import corpus_pipeline
+
+    path, docs, _ = corpus
+    rng = np.random.default_rng(25)
+    a, b, c = (text_of(rng, 40) for _ in range(3))
+    rows = [(1, a, "en", "s", 3), (1, b, "en", "s", 3), (2, a, "en", "s", 3), (None, a, "en", "s", 3), (3, c, "en", "s", 3), (3, c, "en", "s", 3), (None, b, None, None, None), (7, None, None, None, None), (8, "", None, None, 0), (None, "", "en", "x", 0)]
+    odd = spark.createDataFrame(rows, DOCS).withColumns({n: F.lit("x") for n in ("score", "group", "component_id", "__quality", "mix_slot", "text_", "fp")})
+    kept = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, odd, path).collect()), key=str)
+    assert kept == sorted([rows[0], rows[1], rows[4], rows[7]], key=str)  # of a, b, c and the empty texts
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, path)
+        assert out.columns == list(corpus_pipeline.COLUMNS) and set(map(tuple, out.collect())) <= set(rows)
+        assert stage(spark, odd.limit(0), path).count() == 0
+        if name == "mixing":
+            assert out.count() == len(rows)
+    odd.write.parquet(f"{tmp_path}/odd")
+    packed = corpus_pipeline.packing(spark, spark.read.parquet(f"{tmp_path}/odd"), path)
+    assert packed.agg(F.sum("length")).first()[0] == sum(len(plain_tokens(r[1])) for r in rows)
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    for stage in (corpus_pipeline.quality, corpus_pipeline.toxicity):
+        assert stage(spark, odd, str(tmp_path)).count() == len(rows)
+
+
+def test_shared_files_can_be_cleared(spark):
+    from verbatrix.llm import common
+
+    path = common.shared_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    common.clear_shared(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    assert common.pinned(spark.range(2)).count() == 2

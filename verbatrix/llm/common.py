@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,19 +14,33 @@ from ..shipping import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="verbatrix-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset one in the warehouse."""
+    context, path = spark.sparkContext._jsc.sc(), spark.conf.get("spark.checkpoint.dir", None)
+    if not path and context.getCheckpointDir().isDefined():
+        path = context.getCheckpointDir().get()
+    path = (path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_verbatrix").rstrip("/")
+    if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    return path
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/verbatrix/{what}-{uuid.uuid4().hex}"
+    return f"{_own_tables(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def _own_tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/verbatrix/{spark.sparkContext.applicationId}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Removes what this application has written to the shared folder: its tables and checkpoints. Results that read them must be done with."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir()
+    for path in (_own_tables(spark), *([checkpoints.get()] if checkpoints.isDefined() else [])):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def pinned(df: DataFrame) -> DataFrame:

@@ -39,11 +39,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def component_least(parts: DataFrame, least: DataFrame) -> DataFrame:
-    """(node, linked, component_least) for each node of ``parts`` (node, component): the smallest ``least`` (node, least) of its component, null if all are.
+    """(node, component, linked, component_least) for each node of ``parts`` (node, component): the smallest ``least`` (node, least) of its component, null if all are.
 
     The smallest are pinned, so that the join on component has a shuffle of its own for either side: Spark splits that of a
     large component.
     """
     members = pinned(parts.join(least, "node"))
     smallest = pinned(members.groupBy("component").agg(F.min("least").alias("component_least")))
-    return members.join(smallest, "component").select("node", F.lit(True).alias("linked"), "component_least")
+    return members.join(smallest, "component").select("node", "component", F.lit(True).alias("linked"), "component_least")

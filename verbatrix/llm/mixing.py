@@ -13,17 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NO_SOURCE = "\x00null"
-
-
-def shares(weights: list[float], slots: int) -> list[int]:
-    """Whole slots of a period for each weight: at least one each, the largest remainders rounded up."""
-    total = sum(weights)
-    exact = [max(w, 0) / total * (slots - len(weights)) for w in weights] if total > 0 else [(slots - len(weights)) / len(weights)] * len(weights)
-    got = [1 + int(x) for x in exact]
-    for i in sorted(range(len(got)), key=lambda i: (int(exact[i]) - exact[i], i))[: slots - sum(got)]:
-        got[i] += 1
-    return got
+#: Labels: a source's name behind NAMED, or NO_SOURCE for null.
+NAMED, NO_SOURCE = "s", "n"
 
 
 def whole_weights(weights: list[float]) -> list[int]:
@@ -56,14 +47,6 @@ def earliest_deadlines(parts: list[int]) -> Iterator[tuple[int, int, int, int]]:
         heapq.heappush(waiting, ((k + 1) * n // parts[i], i, k + 1))
 
 
-def pfair(parts: list[int]) -> list[list[int]]:
-    """Each source's slots in one period of sum(parts) slots."""
-    slots: list[list[int]] = [[] for _ in parts]
-    for t, (i, *_) in enumerate(itertools.islice(earliest_deadlines(parts), sum(parts))):
-        slots[i].append(t)
-    return slots
-
-
 def schedule(sizes: Mapping[str, int], weights: Mapping[str, float], block_docs: int) -> tuple[dict[str, tuple[array, array, array]], list[tuple[int, int]]]:
     """Slots, releases and deadlines of each source's blocks, and (slot, missing documents) of each short last block.
 
@@ -89,37 +72,37 @@ def schedule(sizes: Mapping[str, int], weights: Mapping[str, float], block_docs:
     return plan, short
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *, temper: float = 0.5, key: str = "doc_id", source: str = "source", block_docs: int = 64, period: int = 2048, max_sources: int = 1024, seed: int = 20, prefix: str = "mix_") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None, *, temper: float = 0.5, key: str = "doc_id", source: str = "source", block_docs: int = 64, max_blocks: int = 1 << 20, period: int = 2048, seed: int = 20, prefix: str = "mix_") -> DataFrame:
     """``docs`` with mix_source, mix_block, mix_slot, mix_release, mix_deadline and mix_position (from 0, without gaps).
 
-    A source's documents, in the order of a seeded hash of ``key``, form blocks of ``block_docs``. Block k of a
+    A source's documents, in the order of a seeded hash of ``key`` and the other columns, form blocks of ``block_docs``, or of more, so that there are
+    about ``max_blocks`` blocks at most. Block k of a
     source takes the slot that :func:`earliest_deadlines` gives it by the exact weights, so after any number of slots
     of a phase each source's blocks differ from its weight's share by less than one; sources of weight 0 come last.
-    ``weights``: by source (sources not named get the
+    ``weights``: by source (None: the null source; sources not named get the
     mean of those given); without them, a source weighs its number of documents to the power ``temper``. Every
     document is kept exactly once: when a source ends, the others share its slots.
 
-    Scale: ranks come from counts by (source, one of 4096 hash ranges), so that no task holds a source; only one
-    count a source reaches the driver (at most ``max_sources``, else ValueError). The driver deals the slots, one at a
-    time, and broadcasts 24 bytes a block, in rows of ``period`` blocks of a source.
+    Scale: ranks come from counts by (source, one of 4096 hash ranges), so that no task holds a source. One
+    count a source reaches the driver, which deals the slots one at a time and broadcasts 24 bytes a block: 25 MB at ``max_blocks``, however many
+    documents there are, and 24 bytes a source where there are more sources than that.
 
-    A null source is a source of its own; null and repeated keys are kept (equal rows in any order); an empty
+    A null source is a source of its own; null and repeated keys are kept and spread by the other columns (equal rows in any order); an empty
     table gives an empty result; columns of ``docs`` named like a result are replaced.
     """
     spark = docs.sparkSession
     made = [prefix + c for c in ("source", "block", "slot", "release", "deadline", "position")]
     kept = [c for c in docs.columns if c not in made]
     plain = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(source), F.lit(NO_SOURCE)).alias("src"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.xxhash64(*[F.col(f"`{c}`") for c in plain]).alias("tie"))
-    rows = rows.withColumn("part", F.shiftright("h", 52))
-    slim = docs.select(F.coalesce(F.col(source), F.lit(NO_SOURCE)).alias("src"), F.shiftright(F.xxhash64(F.lit(seed), F.col(key)), 52).alias("part"))
-    counts = slim.groupBy("src", "part").agg(F.count("*").alias("n"))
-    sizes = {r.src: r.n for r in counts.groupBy("src").agg(F.sum("n").alias("n")).limit(max_sources + 1).collect()}
-    if len(sizes) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    stated = {} if weights is None else dict(weights)
+    label = F.when(F.col(source).isNull(), F.lit(NO_SOURCE)).otherwise(F.concat(F.lit(NAMED), F.col(source).cast("string")))
+    h = F.xxhash64(F.lit(seed), F.col(key), *[F.col(f"`{c}`") for c in plain])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), label.alias("src"), h.alias("h")).withColumn("part", F.shiftright("h", 52))
+    counts = docs.select(label.alias("src"), F.shiftright(h, 52).alias("part")).groupBy("src", "part").agg(F.count("*").alias("n"))
+    sizes = {r.src: r.n for r in counts.groupBy("src").agg(F.sum("n").alias("n")).collect()}
+    block_docs = max(block_docs, -(-sum(sizes.values()) // max_blocks))
+    stated = {NO_SOURCE if k is None else NAMED + k: float(w) for k, w in (weights or {}).items()}
     mean = sum(stated.values()) / len(stated) if stated else 1.0
-    target = {s: float(stated.get(s, mean)) if weights is not None else float(n) ** temper for s, n in sizes.items()}
+    target = {s: stated.get(s, mean) if weights is not None else float(n) ** temper for s, n in sizes.items()}
     slots, short = schedule(sizes, target, block_docs)
     dealt = [(src, lo // period, *(x[lo : lo + period] for x in three)) for src, three in slots.items() for lo in range(0, len(three[0]), period)]
     many = pa.list_(pa.int64())
@@ -129,7 +112,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *,
     lacks = F.array(*[F.struct(F.lit(t).cast("long").alias("slot"), F.lit(n).cast("long").alias("missing")) for t, n in sorted(short)]) if short else F.array().cast("array<struct<slot: bigint, missing: bigint>>")
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("src", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    in_part = Window.partitionBy("src", "part").orderBy("h", "tie")
+    in_part = Window.partitionBy("src", "part").orderBy("h")
     ranked = rows.join(starts, ["src", "part"]).withColumn("rank", F.col("start") + F.row_number().over(in_part) - 1)
     ranked = ranked.withColumns({"block": F.floor(F.col("rank") / block_docs), "inside": F.col("rank") % block_docs})
     placed = ranked.withColumn("stretch", F.floor(F.col("block") / period)).join(F.broadcast(plan), ["src", "stretch"])
@@ -137,7 +120,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *,
     placed = placed.withColumns({n: F.get(n + "s", inside) for n in ("slot", "release", "deadline")})
     placed = placed.withColumn("missing", F.aggregate(lacks, F.lit(0).cast("long"), lambda s, x: s + F.when(x["slot"] < F.col("slot"), x["missing"]).otherwise(0)))
     out = {
-        "source": F.when(F.col("src") != NO_SOURCE, F.col("src")),
+        "source": F.when(F.col("src") != NO_SOURCE, F.substring("src", 1 + len(NAMED), 1 << 30)),
         "block": F.col("block"),
         "slot": F.col("slot"),
         "release": F.col("release"),

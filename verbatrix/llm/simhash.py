@@ -36,17 +36,19 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42, step: int =
     return int((np.uint64(1) << np.flatnonzero(2 * ones > n).astype(np.uint64)).sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, and ``keep``): fp as a signed 64-bit integer."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep)
+    names = ["doc_id", "fp", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.empty(len(batch), np.uint64)
-            for i, t in enumerate(batch.column("text")):
+            for i, t in enumerate(batch.column(1)):
                 fp[i] = fingerprint(t.as_py(), shingle, seed)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], names)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return rows.mapInArrow(run, rows.select("doc_id", F.lit(0).cast("long").alias("fp"), *keep).schema)
 
 
 def ball(bits: int, radius: int) -> np.ndarray:
@@ -156,18 +158,20 @@ def fingerprint_links(fps: DataFrame, n: int, *, most: int = 4, bucket_mb: int =
     return blobs.groupBy("bucket").applyInPandas(reduce, "a bigint, b bigint").distinct()
 
 
-def simhash_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links, itself included), one row per document.
+def simhash_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = 4, shingle: int = 4, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links, itself included), group and ``keep``, one row per document.
+
+    group: a fingerprint of the component, the same for all its documents, never null.
 
     Documents of one fingerprint are one node, so copies cost nothing but their rows. Null and empty texts have
     fingerprint zero and are linked like any other; long texts are hashed whole, a stretch at a time; a null
     doc_id is ignored where another is in its group (else component_id is null); repeated rows stay; an empty
-    table gives an empty result; other columns are not read.
+    table gives an empty result; columns but those of ``keep`` are not read.
     """
-    own = pinned(fingerprints(docs, key=key, text=text, shingle=shingle, seed=seed))
+    own = pinned(fingerprints(docs, key=key, text=text, shingle=shingle, seed=seed, keep=keep))
     nodes = pinned(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = fingerprint_links(nodes, nodes.count(), most=most)
     linked = component_least(connected_components(links), nodes.select(F.col("fp").alias("node"), "least"))
     named = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
-    named = named.select("fp", F.when(F.col("linked"), F.col("component_least")).otherwise(F.col("least")).alias("component_id"))
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = named.select("fp", F.when(F.col("linked"), F.col("component_least")).otherwise(F.col("least")).alias("component_id"), F.coalesce("component", "fp").alias("group"))
+    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group", *keep)
