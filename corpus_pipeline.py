@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatrix.llm import queries as q
-from verbatrix.llm.common import shared_path, table
+from verbatrix.llm.common import pinned, shared_path, table
 from verbatrix.llm.mixing import mix_sources
 from verbatrix.llm.packing import pack_documents
 from verbatrix.llm.quality_fm import score_quality
@@ -22,32 +22,60 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go. The model is fitted to labelled documents of ``sf_dir``."""
-    scored = score_quality(docs, q.quality_model(spark, sf_dir), keep=COLUMNS, score="__quality")
+    """Documents that the quality classifier rejects go. The model is fitted to labelled documents of ``sf_dir``; without labels of both kinds none goes.
+
+    Null and empty texts are scored like others; rows that repeat stay or go together; an empty table stays empty; other columns go.
+    """
+    model = q.quality_model(spark, sf_dir)
+    if model is None:
+        return docs.select(*COLUMNS)
+    scored = score_quality(docs, model, keep=COLUMNS, score="__quality")
     return scored.where(F.col("__quality") >= q.QUALITY_LEAST).select(*COLUMNS)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
-    scored = score_toxicity(docs, q.toxicity_model(spark, sf_dir), keep=COLUMNS, score="__toxicity")
+    """Documents that the toxicity classifier rejects go; without labels of both kinds none goes.
+
+    Null and empty texts have the least score; rows that repeat stay or go together; an empty table stays empty; other columns go.
+    """
+    model = q.toxicity_model(spark, sf_dir)
+    if model is None:
+        return docs.select(*COLUMNS)
+    scored = score_toxicity(docs, model, keep=COLUMNS, score="__toxicity")
     return scored.where(F.col("__toxicity") < q.TOXIC_LEAST).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    groups = simhash_groups(docs)
-    away = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(away, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near duplicates one row stays: that with the smallest doc_id (null after all others), of several the one with the least hash.
+
+    Rows are told apart by hashes of all their columns (128 bits), so of rows that repeat an id each is judged by its own text, and of equal rows one
+    stays. Null texts are empty texts, which are one another's copies.
+    """
+    names = ("__a", "__b")
+    rows = docs.select(*COLUMNS, *[F.xxhash64(F.lit(i), *COLUMNS).alias(n) for i, n in enumerate(names)])
+    groups = simhash_groups(rows, keep=names)
+    same = groups.groupBy("group", *names).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    best = pinned(same.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *names, "n")).alias("best")).select("group", "best.*"))
+    twice = best.where("n > 1").select(*names)
+    away = same.join(best.select(*names), list(names), "left_anti").select(*names)
+    once = rows.join(away.unionByName(twice), list(names), "left_anti")
+    return once.unionByName(rows.join(twice, list(names), "left_semi").dropDuplicates(list(names))).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix: the order of the files' names and of the rows in each."""
+    """All documents in the order of the mix: the order of the files' numbers and of the rows in each.
+
+    Null and repeated ids stay; a null source is a source of its own; an empty table stays empty; other columns go.
+    """
     mixed = mix_sources(docs.select(*COLUMNS), temper=0.5)
     return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents, in their stored order, in sequences of at most 1024 tokens: a row for each piece."""
+    """The mixed documents, in their stored order, in sequences of at most 1024 tokens: a row for each piece.
+
+    A null or empty text is one token; null and repeated ids stay; an empty table gives no pieces; other columns are not read.
+    """
     file = F.col("_metadata.file_name")
     order = (F.regexp_extract(file, r"part-(\d+)", 1).try_cast("long"), file, F.col("_metadata.row_index"))
     return pack_documents(docs, tokenizer_path=q.tokenizer_path(), order=order, end_id=0, size=1024)
