@@ -21,7 +21,7 @@ ORDER, SPAN, DECAY, SYMBOLS = 4, 6, 0.6, 40
 #: A sentence of over WORDS words is compared in stretches of WORDS, each half over the one before; LONGEST letters count as a word.
 WORDS, LONGEST = 6, 40
 #: Characters read at a time; of a longer text that many, each stretch OVERLAP over the one before.
-AT_ONCE, OVERLAP = 1_000_000, 4096
+AT_ONCE, OVERLAP = 250_000, 4096
 #: A subsequence that is in a share s of the clean texts counts 1 / (1 + s / RARE).
 RARE = 0.01
 #: Fixed: digits and marks that stand for letters.
@@ -248,11 +248,11 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:
 def _all_windows(texts: list[str]) -> Windows:
     parts = [(windows_of(some), whose) for some, whose in _pieces(texts)]
     at = np.cumsum([0] + [len(p.codes) for p, _ in parts])
-    places = [np.concatenate([getattr(p, f) + b for (p, _), b in zip(parts, at)]) for f in ("start", "end")]
-    return Windows(np.concatenate([p.codes for p, _ in parts]), *places, np.concatenate([whose[p.text] for p, whose in parts]))
+    places = [np.concatenate([(getattr(p, f) + b).astype(np.int32) for (p, _), b in zip(parts, at)]) for f in ("start", "end")]
+    return Windows(np.concatenate([p.codes for p, _ in parts]), *places, np.concatenate([whose[p.text].astype(np.int32) for p, whose in parts]))
 
 
-def _scores(table: np.ndarray, w: Windows, step: int = 20_000) -> np.ndarray:
+def _scores(table: np.ndarray, w: Windows, step: int = 5_000) -> np.ndarray:
     """About each stretch's margin: its norm without the products of occurrences of one subsequence."""
     out = np.empty(len(w.start))
     for lo in range(0, len(w.start), step):
@@ -269,17 +269,17 @@ def landmark_map(w: Windows, rows: np.ndarray, landmarks: np.ndarray, rarity: np
     used, place = np.unique(code, return_inverse=True)
     phi = np.zeros((len(used) + 1, len(landmarks)), np.float32)  # the last row is for those of no landmark
     phi[place, whose] = weight * np.sqrt(rarity[code])
-    phi /= np.sqrt((phi**2).sum(0))
+    phi /= np.sqrt(np.einsum("ij,ij->j", phi, phi))
     column = np.full(_SIZE, len(used), np.int32)
     column[used] = np.arange(len(used))
     kernel = np.zeros((len(rows), len(landmarks)))
-    for lo in range(0, len(rows), 64):
-        i = rows[lo : lo + 64]
+    for lo in range(0, len(rows), 32):
+        i = rows[lo : lo + 32]
         whose, code, weight = features(w.codes, w.start[i], w.end[i])
         value = weight * np.sqrt(rarity[code])
         at = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]])
         kernel[lo + whose[at]] = np.add.reduceat(phi[column[code]] * value[:, None], at, dtype=np.float32)
-        kernel[lo : lo + 64] /= np.sqrt(np.bincount(whose, value.astype(float) ** 2, len(i)))[:, None]
+        kernel[lo : lo + 32] /= np.sqrt(np.bincount(whose, value.astype(float) ** 2, len(i)))[:, None]
     return kernel, used, phi[:-1]
 
 
@@ -296,7 +296,7 @@ def _train(texts: list[str], toxic: np.ndarray, landmarks: int = 256, rounds: in
     clean = np.flatnonzero(toxic[w.text] == 0)
     if not len(clean) or len(clean) == len(w.text):
         return None
-    counts, last = np.zeros((2, _SIZE), np.int32), np.zeros(_SIZE, np.int32)
+    counts, last = np.zeros((2, _SIZE), np.uint16 if len(texts) < 1 << 16 else np.int32), np.zeros(_SIZE, np.int32)
     edges = np.flatnonzero(np.r_[True, w.text[1:] != w.text[:-1], True])
     for lo, hi in zip(edges, edges[1:]):
         found = occurrences(w.codes[w.start[lo] : w.end[hi - 1]])
@@ -304,11 +304,13 @@ def _train(texts: list[str], toxic: np.ndarray, landmarks: int = 256, rounds: in
         last[found] = place
         counts[toxic[w.text[lo]], found[last[found] == place]] += 1  # once a text
     many = toxic.sum(), (1 - toxic).sum()
-    rarity = (1 / (1 + counts[0] / (RARE * many[1]))).astype(np.float32)
-    odds = np.log((counts[1] + 0.5) / (many[0] + 1)) - np.log((counts[0] + 0.5) / (many[1] + 1))
-    odds[(counts[1] < max(3, 0.02 * many[0])) | (odds < 1.5)] = 0
+    del last
+    rarity = 1 / (1 + counts[0] / np.float32(RARE * many[1]))
+    some = np.flatnonzero(counts[1] >= max(3, 0.02 * many[0]))
+    odds = np.log((counts[1][some] + 0.5) / (many[0] + 1)) - np.log((counts[0][some] + 0.5) / (many[1] + 1))
     machine, bias = Machine(rarity), 0.0
-    machine.table.real = np.clip(odds, 0, 6) * rarity
+    machine.table.real[some] = np.where(odds < 1.5, 0, np.clip(odds, 0, 6)) * rarity[some]
+    del counts
     for _ in range(rounds):
         score = _scores(machine.table, w) + bias
         order = np.lexsort((-score, w.text))
@@ -319,17 +321,10 @@ def _train(texts: list[str], toxic: np.ndarray, landmarks: int = 256, rounds: in
         hard = hard[np.argsort(-score[hard], kind="stable")[:1500]]
         some = np.unique(np.r_[hard, rng.choice(clean, min(2500, len(clean)), replace=False)])
         z = np.concatenate([rng.choice(x, min(n, len(x)), replace=False) for x, n in ((witness, landmarks // 2), (hard, landmarks // 4), (clean, landmarks // 4))])
-        rows = np.r_[witness, some]
-        kernel, used, phi = landmark_map(w, rows, z, rarity)
-        values, vectors = np.linalg.eigh(phi.T @ phi)
-        good = values > 1e-4 * values.max()
-        root = vectors[:, good] / np.sqrt(values[good])
-        x = np.c_[kernel @ root, np.ones(len(rows))]
-        y = np.r_[np.ones(len(witness)), -np.ones(len(some))]
-        beta = _squared_hinge(x, y, cost * np.r_[np.full(len(witness), len(some) / len(witness)), np.ones(len(some))])
-        bias = float(beta[-1])
+        del score, order, top
+        used, weights, bias = _fitted(w, witness, some, z, rarity, cost)
         machine.table.real = 0
-        machine.table.real[used] = phi @ (root @ beta[:-1]) * np.sqrt(rarity[used])
+        machine.table.real[used] = weights
     got = machine.margins(texts)
     order = np.argsort(got, kind="stable")
     below = np.r_[got[order[0]] - 1, got[order], got[order[-1]] + 1]
@@ -340,6 +335,19 @@ def _train(texts: list[str], toxic: np.ndarray, landmarks: int = 256, rounds: in
     return machine
 
 
+def _fitted(w: Windows, toxic: np.ndarray, clean: np.ndarray, landmarks: np.ndarray, rarity: np.ndarray, cost: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The machine fitted to stretches in the span of landmarks: its subsequences, their numbers, and the bias."""
+    rows = np.r_[toxic, clean]
+    kernel, used, phi = landmark_map(w, rows, landmarks, rarity)
+    values, vectors = np.linalg.eigh(phi.T @ phi)
+    good = values > 1e-4 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    x = np.c_[kernel @ root, np.ones(len(rows))]
+    y = np.r_[np.ones(len(toxic)), -np.ones(len(clean))]
+    beta = _squared_hinge(x, y, cost * np.r_[np.full(len(toxic), len(clean) / len(toxic)), np.ones(len(clean))])
+    return used, phi @ (root @ beta[:-1]).astype(np.float32) * np.sqrt(rarity[used]), float(beta[-1])
+
+
 def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.ndarray:
     """Newton's method for half |beta|^2 + sum of cost * max(0, 1 - y x beta)^2; the last column's weight is free."""
     beta, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
