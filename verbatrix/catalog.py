@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import normalize as nm
@@ -116,17 +116,26 @@ def q_abbrev_documents(spark, sf_dir):
     return profile.detect_abbreviations(_docs(spark, sf_dir), "text", None)
 
 
-@_query(_sums({"br": {0: 1}, "ba": {0: 1}, "sqft": {0: 1}, "w/": {0: 1}, "sq. ft": {3: 1}, "a/c": {5: 1}, "w/d": {5: 1}, "w/o": {5: 1}, "hoa": {5: 1}, "yr": {6: 1}, "dr": {9: 1}}, "abbr"))
+_ABBRS = {"br": {0: 1}, "ba": {0: 1}, "sqft": {0: 1}, "w/": {0: 1}, "sq. ft": {3: 1}, "a/c": {5: 1}, "w/d": {5: 1}, "w/o": {5: 1}, "hoa": {5: 1}, "yr": {6: 1}, "dr": {9: 1}}
+
+
+@_query(_sums(_ABBRS, "abbr"))
 def q_abbrev_counts(spark, sf_dir):
     return profile.detect_abbreviations(_listings(spark, sf_dir), "remarks", None)
 
 
-@_query(_sums({"$_k": {2: 1, 4: 1}, "$_m": {1: 1}, "Nk": {0: 1, 2: 1, 4: 1, 9: 1}, "Nm": {1: 1, 4: 1}, "$N": {1: 1, 2: 1, 3: 1, 4: 1}, "N_comma": {3: 2}, "N thousand": {3: 1}}, "label"))
+_PRICES = {"$_k": {2: 1, 4: 1}, "$_m": {1: 1}, "Nk": {0: 1, 2: 1, 4: 1, 9: 1}, "Nm": {1: 1, 4: 1}, "$N": {1: 1, 2: 1, 3: 1, 4: 1, 10: 1}, "N_comma": {3: 2}, "N thousand": {3: 1}, "N million": {10: 1}}
+
+
+@_query(_sums(_PRICES, "label"))
 def q_price_counts(spark, sf_dir):
     return profile.detect_prices(_listings(spark, sf_dir), "remarks")
 
 
-@_query(_sums({"sq ft": {0: 1, 3: 1}, "sqft": {0: 1}, "acres": {1: 1, 5: 2}, "sq meters": {5: 1}, "leading_decimal": {2: 1}, "feet_apostrophe": {1: 1, 4: 3}, "inches_quote": {2: 1, 4: 1}, "ft_abbrev": {2: 1}}, "label"))
+_MEASURES = {"sq ft": {0: 1, 3: 1}, "sqft": {0: 1}, "square feet": {10: 1}, "acres": {1: 1, 5: 2}, "sq meters": {5: 1}, "leading_decimal": {2: 1}, "feet_apostrophe": {1: 1, 4: 3}, "inches_quote": {2: 1, 4: 1}, "ft_abbrev": {2: 1}}
+
+
+@_query(_sums(_MEASURES, "label"))
 def q_measure_counts(spark, sf_dir):
     return profile.detect_measurements(_listings(spark, sf_dir), "remarks")
 
@@ -141,25 +150,29 @@ def _on_listings(step) -> Query:
 
 _STEPS = {
     "q_norm_prices": (nm.normalize_prices, {
-        0: "z || ' br 2 ba, ' || s || ' sqft, priced at ' || nk || '. W/ garage.'", 1: "'Luxury home $1200000, 9' || q || ' ceilings, ' || z || '.5 acres. &amp; ready.'",
-        2: "'Condo .5 mile away, 10ft ceiling, 6\" trim. $5500 reduced!'", 3: "'Listed $1234567 with ' || n || '500 sq. ft. and ' || zk || ' trees'",
-        4: "'Was $1,234000, yard 25000000 x 5' || q || 'x7' || q || ', 9' || q || '6\" door'", 9: "'Main Dr, 3br, w/garage, 401000'"}),
+        0: "'Cottage with ' || z || ' br and 3 ba over ' || s || ' sqft; offers from ' || nk || '. W/ patio.'", 1: "'Villa near the lake, $2400000, doors of 8' || q || ', ' || z || '.5 acres &amp; a barn.'",
+        2: "'Loft .75 mile from town: 12ft walls, 4\" shelf, was $7500 more'", 3: "'Estate at $2345678, ' || n || '250 sq. ft. and ' || zk || ' vines'",
+        4: "'Once $2,468000, court 30000000 x 6' || q || 'x8' || q || ', 7' || q || '9\" gate'", 9: "'Elm Dr, 4br, w/cellar, 501000'",
+        10: "'  Asking $640, or 1500000 for both, 900 Square   Feet in all  '"}),
     "q_norm_measure": (nm.normalize_measurements, {
-        0: "z || ' br 2 ba, ' || s || ' square feet, priced at ' || n || 'k. W/ garage.'", 1: "'Luxury home $1.2m, 9 foot ceilings, ' || z || '.5 acres. &amp; ready.'",
-        2: "'Condo 0.5 mile away, 10 foot ceiling, 6 inch trim. $5.5k reduced!'", 3: "'Listed $1,234,567 with ' || n || '500 square feet. and ' || z || ' thousand trees'",
-        4: "'Was $1,234k, yard 25m x 5 footx7 foot, 9 foot6 inch door'", 5: "'Lot 2.5 acres, pool 1 acres, 50 square meters deck, a/c, w/d, w/o hoa'"}),
+        0: "'Cottage with ' || z || ' br and 3 ba over ' || s || ' square feet; offers from ' || n || 'k. W/ patio.'", 1: "'Villa near the lake, $2.4m, doors of 8 foot, ' || z || '.5 acres &amp; a barn.'",
+        2: "'Loft 0.75 mile from town: 12 foot walls, 4 inch shelf, was $7.5k more'", 3: "'Estate at $2,345,678, ' || n || '250 square feet. and ' || z || ' thousand vines'",
+        4: "'Once $2,468k, court 30m x 6 footx8 foot, 7 foot9 inch gate'", 5: "'Field 3.5 acres, pond 1 acres, 40 square meters shed, a/c, w/d, w/o hoa'",
+        10: "'  Asking $ 640, or 1.5 Million for both, 900 square feet in all  '"}),
     "q_expand": (nm.expand_abbreviations, {
-        0: "z || ' bedroom 2 bathroom, ' || s || ' square feet, priced at ' || n || 'k. with garage.'", 3: "'Listed $1,234,567 with ' || n || ',500 square feet. and ' || z || ' thousand trees'",
-        5: "'Lot 2.5 acre, pool 1 acre, 50 sq m deck, air conditioning, washer dryer, without homeowners association'",
-        6: "'<p>Two&nbsp;story &lt;b&gt;home&lt;/b&gt; &quot;' || z || ' year&quot; R&amp;D</p>'", 9: "'Main dining room, 3br, w/garage, 401k'"}),
-    "q_norm_unicode": (nm.unicode_fold, {7: "'\"Nice\" 9' || q || ' porch - 21⁄2 baths ... near 12 oaks'"}),
+        0: "'Cottage with ' || z || ' bedroom and 3 bathroom over ' || s || ' square feet; offers from ' || n || 'k. with patio.'", 3: "'Estate at $2,345,678, ' || n || ',250 square feet. and ' || z || ' thousand vines'",
+        5: "'Field 3.5 acre, pond 1 acre, 40 sq m shed, air conditioning, washer dryer, without homeowners association'",
+        6: "'<p>Corner&nbsp;unit &lt;i&gt;sunny&lt;/i&gt; &quot;' || z || ' year&quot; B&amp;B</p>'", 9: "'Elm dining room, 4br, w/cellar, 501k'"}),
+    "q_norm_unicode": (nm.unicode_fold, {7: "'\"Airy\" 7' || q || ' hall - 31⁄2 rooms ... by 12 elms'"}),
     "q_unescape": (nm.unescape, {
-        1: "'Luxury home $1.2m, 9' || q || ' ceilings, ' || z || '.5 acres. & ready.'", 6: "'<p>Two' || chr(160) || 'story <b>home</b> \"' || z || ' yr\" R&D</p>'"}),
+        1: "'Villa near the lake, $2.4m, doors of 8' || q || ', ' || z || '.5 acres & a barn.'", 6: "'<p>Corner' || chr(160) || 'unit <i>sunny</i> \"' || z || ' yr\" B&B</p>'"}),
+    "q_strip": (nm.strip, {10: "'Asking $ 640, or 1.5 Million for both, 900 Square   Feet in all'"}),
     "q_clean": (nm.clean_text, {
-        0: "z || ' bedroom 2 bathroom, ' || s || ' square feet, priced at ' || nk || '. with garage.'", 1: "'Luxury home $1200000, 9 foot ceilings, ' || z || '.5 acres. & ready.'",
-        2: "'Condo 0.5 mile away, 10 foot ceiling, 6 inch trim. $5500 reduced!'", 3: "'Listed $1234567 with ' || n || '500 square feet. and ' || zk || ' trees'",
-        4: "'Was $1,234000, yard 25000000 x 5 footx7 foot, 9 foot6 inch door'", 5: "'Lot 2.5 acres, pool 1 acres, 50 square meters deck, air conditioning, washer dryer, without homeowners association'",
-        6: "'Two' || chr(160) || 'story home \"' || z || ' year\" R&D'", 7: "'\"Nice\" 9 foot porch - 21⁄2 baths ... near 12 oaks'", 9: "'Main dining room, 3br, w/garage, 401000'"}),
+        0: "'Cottage with ' || z || ' bedroom and 3 bathroom over ' || s || ' square feet; offers from ' || nk || '. with patio.'", 1: "'Villa near the lake, $2400000, doors of 8 foot, ' || z || '.5 acres & a barn.'",
+        2: "'Loft 0.75 mile from town: 12 foot walls, 4 inch shelf, was $7500 more'", 3: "'Estate at $2345678, ' || n || '250 square feet. and ' || zk || ' vines'",
+        4: "'Once $2,468000, court 30000000 x 6 footx8 foot, 7 foot9 inch gate'", 5: "'Field 3.5 acres, pond 1 acres, 40 square meters shed, air conditioning, washer dryer, without homeowners association'",
+        6: "'Corner' || chr(160) || 'unit sunny \"' || z || ' year\" B&B'", 7: "'\"Airy\" 7 foot hall - 31⁄2 rooms ... by 12 elms'", 9: "'Elm dining room, 4br, w/cellar, 501000'",
+        10: "'Asking $640, or 1500000 for both, 900 square feet in all'"}),
 }
 for _name, (_step, _changed) in _STEPS.items():
     _QUERIES[_name], _SQL[_name] = _on_listings(_step), _expected(_changed)
@@ -182,6 +195,14 @@ def q_top_bigrams(spark, sf_dir):
     return ngrams.top_bigrams(_docs(spark, sf_dir), "text", 200, tokenizer="space")
 
 
+@_query(f"""WITH {_PAIRS}, r AS (SELECT doc_id, w FROM t WHERE len(w) > 0), e AS (SELECT w[-1] AS a, lead(w[1]) OVER (ORDER BY doc_id) AS b FROM r),
+a AS (SELECT term FROM b UNION ALL SELECT a || ' ' || b FROM e WHERE b IS NOT NULL AND a NOT IN ({_STOPS}) AND b NOT IN ({_STOPS}))
+SELECT term, count(*) AS n FROM a GROUP BY term ORDER BY n DESC, term LIMIT 200""")
+def q_top_bigrams_across(spark, sf_dir):
+    """Bigrams over the ends of documents too, in the order of their ids."""
+    return ngrams.top_bigrams(_docs(spark, sf_dir), "text", 200, tokenizer="space", row_id="doc_id")
+
+
 _TAXONOMY = "SELECT printf('T%04d', row_number() OVER (ORDER BY n DESC, term)) AS id, term, n AS count FROM c ORDER BY n DESC, term LIMIT 1000"
 
 
@@ -191,7 +212,7 @@ def q_taxonomy(spark, sf_dir):
 
 
 @_query(f"""WITH {_PAIRS}, terms AS ({_TAXONOMY}), s AS (SELECT coalesce(len(x), 0) AS k FROM p)
-SELECT (SELECT CAST(sum(n) AS BIGINT) FROM c WHERE term IN (SELECT term FROM terms)) AS hits, CAST(sum(k) AS BIGINT) AS bigrams, max(k) AS max_bigrams, avg(k) AS avg_bigrams,
+SELECT (SELECT CAST(sum(n) AS BIGINT) FROM c WHERE term IN (SELECT term FROM terms)) AS hits, CAST(sum(k) AS BIGINT) AS bigrams, min(k) AS min_bigrams, max(k) AS max_bigrams, avg(k) AS avg_bigrams,
 100.0 * (SELECT sum(n) FROM c WHERE term IN (SELECT term FROM terms)) / sum(k) AS coverage FROM s""")
 def q_coverage(spark, sf_dir):
     docs = _docs(spark, sf_dir)
@@ -226,6 +247,51 @@ def q_random_sample(spark, sf_dir):
     return extract_listings(_listing_table(spark, sf_dir), sample=1000, seed=7)
 
 
+@_query(f"SELECT least(n, 1000)::BIGINT AS rows, least(n, 1000)::BIGINT AS ids, 0::BIGINT AS strange FROM (SELECT count(*) AS n FROM (SELECT {_duck(REMARKS)} AS remarks {_FROM}) WHERE strlen(remarks) > 50)")
+def q_random_sample_facts(spark, sf_dir):
+    """Of the random sample: its size, how many ids it has, and how many rows aren't of the table."""
+    table = extract_listings(_listing_table(spark, sf_dir), sample=None)
+    some = extract_listings(_listing_table(spark, sf_dir), sample=1000, seed=7)
+    return some.join(table.select("L_ListingID", F.lit(0).alias("strange")), "L_ListingID", "left").agg(F.count("*").alias("rows"), F.count_distinct("L_ListingID").alias("ids"), F.sum(F.coalesce("strange", F.lit(1))).cast("long").alias("strange"))
+
+
+def _profile_sql() -> str:
+    pairs = _PAIRS.replace("doc_id, ", "").replace("lower(text)", "lower(remarks)").replace("FROM documents", "FROM l")
+    prices, measures, abbrs = (_sums(x, "name") for x in (_PRICES, _MEASURES, _ABBRS))
+    return f"""WITH l AS (SELECT {_duck(REMARKS)} AS remarks {_FROM}), {pairs},
+pr AS ({prices}), me AS ({measures}), ab AS ({abbrs} ORDER BY n DESC, name LIMIT 10),
+ht AS (SELECT name, count(*) AS n FROM (SELECT unnest(list_concat(regexp_extract_all(remarks, '{ENTITY}'), regexp_extract_all(remarks, '{TAG}'))) AS name FROM l) GROUP BY name),
+un AS (SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(remarks, '[^\\x00-\\x7F]')) AS name FROM l) GROUP BY name),
+te AS (SELECT term AS name, n FROM c ORDER BY n DESC, term LIMIT 20)
+SELECT 'null_rate' AS part, '' AS name, round(avg(CASE WHEN remarks IS NULL THEN 1.0 ELSE 0.0 END), 9) AS value FROM l
+UNION ALL SELECT 'avg_length', '', round(avg(length(remarks)), 9) FROM l
+UNION ALL SELECT 'avg_num_words', '', round(avg(len(regexp_extract_all(remarks, '{_NWS}'))), 9) FROM l
+UNION ALL SELECT 'price_mentions', '', sum(n) FROM pr UNION ALL SELECT 'measurement_mentions', '', sum(n) FROM me
+UNION ALL SELECT 'has_html', '', sum(n) FROM ht UNION ALL SELECT 'has_unicode', '', count(*) FROM un
+UNION ALL SELECT 'price_counter', name, n FROM pr UNION ALL SELECT 'measurement_counter', name, n FROM me
+UNION ALL SELECT 'html_examples', name, n FROM ht UNION ALL SELECT 'unicode_examples', name, n FROM un
+UNION ALL SELECT 'common_terms', name, n FROM te UNION ALL SELECT 'common_abbreviations', name, n FROM ab"""
+
+
+@_query(_profile_sql())
+def q_profile_parts(spark, sf_dir):
+    """All 13 parts of the profile as rows: part, name (of a label, tag, character, term or abbreviation) and value."""
+    one = profile.profile_column(_listings(spark, sf_dir), "remarks", top_terms=20, tokenizer="space")
+
+    def row(part: str, name: Column, value: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), name.alias("name"), F.round(value.cast("double"), 9).alias("value"))
+
+    scalars = ("null_rate", "avg_length", "avg_num_words", "price_mentions", "measurement_mentions", "has_html", "has_unicode")
+    parts = [F.array(*[row(k, F.lit(""), F.col(k)) for k in scalars])]
+
+    def rows(part: str, entries: Column, name: str, value: str) -> Column:
+        return F.transform(entries, lambda e: row(part, e[name], e[value]))
+
+    parts += [rows(k, F.map_entries(k), "key", "value") for k in ("price_counter", "measurement_counter", "html_examples", "unicode_examples")]
+    parts += [rows("common_terms", F.col("common_terms"), "term", "count"), rows("common_abbreviations", F.col("common_abbreviations"), "abbr", "count")]
+    return one.select(F.inline(F.concat(*parts)))
+
+
 @_query()
 def q_profile(spark, sf_dir):
     return profile.profile_column(_listings(spark, sf_dir), "remarks")

@@ -41,8 +41,15 @@ def taxonomy(df: DataFrame, column: str, top: int = 1000, **how) -> DataFrame:
 
 
 def coverage(df: DataFrame, column: str, terms: DataFrame, *, tokenizer: str = "treebank", lowercase: bool = True, strict: bool = True, stop_words=STOP_WORDS) -> DataFrame:
-    """One row: hits, bigrams, max_bigrams, avg_bigrams (a row) and coverage in percent; null without bigrams."""
+    """One row: hits, bigrams, min_bigrams, max_bigrams, avg_bigrams (a row) and coverage in percent; null without bigrams.
+
+    Texts are read once: a row's number of bigrams goes along with its bigrams, partly aggregated in the same pass.
+    """
     pairs = bigrams(tokens(F.col(column), mode=tokenizer, lowercase=lowercase, strict=strict), stop_words)
-    sizes = df.select(F.size(pairs).alias("k")).agg(F.sum("k").alias("bigrams"), F.max("k").alias("max_bigrams"), F.avg("k").alias("avg_bigrams"))
-    found = df.select(F.explode(pairs).alias("term")).groupBy("term").agg(F.count("*").alias("n")).join(terms.select("term").distinct(), "term", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hits"))
-    return found.join(F.broadcast(sizes)).select("hits", "bigrams", "max_bigrams", "avg_bigrams", F.try_divide(100.0 * F.col("hits"), F.col("bigrams")).alias("coverage"))
+    size = F.struct(F.lit(None).cast("string").alias("term"), F.size("pairs").alias("k"))  # a row of its own for each text
+    rows = df.select(pairs.alias("pairs")).where("pairs is not null").select(F.explode(F.concat(F.array(size), F.transform("pairs", lambda t: F.struct(t.alias("term"), F.lit(None).cast("int").alias("k"))))).alias("r"))
+    counts = rows.groupBy("r.term").agg(F.count("*").alias("n"), F.sum("r.k").alias("bigrams"), F.min("r.k").alias("min_bigrams"), F.max("r.k").alias("max_bigrams"))
+    known = counts.join(terms.select("term", F.lit(True).alias("known")).distinct(), "term", "left")
+    of_texts = lambda c: F.max(F.when(F.col("term").isNull(), F.col(c))).alias(c)
+    one = known.agg(F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).alias("hits"), *[of_texts(c) for c in ("bigrams", "min_bigrams", "max_bigrams")], of_texts("n").alias("texts"))
+    return one.select("hits", "bigrams", "min_bigrams", "max_bigrams", F.try_divide(F.col("bigrams").cast("double"), F.col("texts")).alias("avg_bigrams"), F.try_divide(100.0 * F.col("hits"), F.col("bigrams")).alias("coverage"))

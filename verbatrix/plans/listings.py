@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sampling import random_sample
 
-#: New names of the listing table's columns.
+#: The listing table's columns and their new names.
 COLUMNS = {"L_ListingID": "L_ListingID", "L_Address": "L_Address", "L_City": "L_City", "L_Keyword2": "beds", "LM_Dec_3": "bath", "L_SystemPrice": "price", "L_Remarks": "remarks"}
 
 
@@ -17,18 +17,19 @@ def extract_listings(listings: DataFrame, *, least_bytes: int = 50, sample: int
     return rows if sample is None else random_sample(rows, sample, seed)
 
 
-#: By p_partkey % 10; z, n, s are p_size, 100 + p_size, 100 * p_size. SQL that Spark and DuckDB both read.
+#: By p_partkey % 11; z, n, s are p_size, 100 + p_size, 100 * p_size. SQL that Spark and DuckDB both read.
 REMARKS = {
-    0: "z || ' br 2 ba, ' || s || ' sqft, priced at ' || n || 'k. W/ garage.'",
-    1: "'Luxury home $1.2m, 9' || q || ' ceilings, ' || z || '.5 acres. &amp; ready.'",
-    2: "'Condo .5 mile away, 10ft ceiling, 6\" trim. $5.5k reduced!'",
-    3: "'Listed $1,234,567 with ' || n || ',500 sq. ft. and ' || z || ' thousand trees'",
-    4: "'Was $1,234k, yard 25m x 5' || q || 'x7' || q || ', 9' || q || '6\" door'",
-    5: "'Lot 2.5 acre, pool 1 acre, 50 sq m deck, a/c, w/d, w/o hoa'",
-    6: "'<p>Two&nbsp;story &lt;b&gt;home&lt;/b&gt; &quot;' || z || ' yr&quot; R&amp;D</p>'",
-    7: "'“Nice” 9’ porch – 2½ baths … near 1２ oaks'",
+    0: "'Cottage with ' || z || ' br and 3 ba over ' || s || ' sqft; offers from ' || n || 'k. W/ patio.'",
+    1: "'Villa near the lake, $2.4m, doors of 8' || q || ', ' || z || '.5 acres &amp; a barn.'",
+    2: "'Loft .75 mile from town: 12ft walls, 4\" shelf, was $7.5k more'",
+    3: "'Estate at $2,345,678, ' || n || ',250 sq. ft. and ' || z || ' thousand vines'",
+    4: "'Once $2,468k, court 30m x 6' || q || 'x8' || q || ', 7' || q || '9\" gate'",
+    5: "'Field 3.5 acre, pond 1 acre, 40 sq m shed, a/c, w/d, w/o hoa'",
+    6: "'<p>Corner&nbsp;unit &lt;i&gt;sunny&lt;/i&gt; &quot;' || z || ' yr&quot; B&amp;B</p>'",
+    7: "'“Airy” 7’ hall – 3½ rooms … by 1２ elms'",
     8: "CAST(NULL AS STRING)",
-    9: "'Main Dr, 3br, w/garage, 401k'",
+    9: "'Elm Dr, 4br, w/cellar, 501k'",
+    10: "'  Asking $ 640, or 1.5 Million for both, 900 Square   Feet in all  '",
 }
 
 
@@ -37,10 +38,10 @@ def by_template(texts: dict[int, str], changed: dict[int, str] | None = None) ->
 
 
 #: Columns that the expressions above name. ``q`` is an apostrophe.
-PARTS = "SELECT p_partkey AS id, p_partkey % 10 AS k, CAST(p_size AS STRING) AS z, CAST(100 + p_size AS STRING) AS n, CAST(100 * p_size AS STRING) AS s, CAST(1000 * (100 + p_size) AS STRING) AS nk, CAST(1000 * p_size AS STRING) AS zk, {q} AS q FROM {part}"
+PARTS = "SELECT p_partkey AS id, p_partkey % 11 AS k, CAST(p_size AS STRING) AS z, CAST(100 + p_size AS STRING) AS n, CAST(100 * p_size AS STRING) AS s, CAST(1000 * (100 + p_size) AS STRING) AS nk, CAST(1000 * p_size AS STRING) AS zk, {q} AS q FROM {part}"
 
 
 def listings(part: DataFrame) -> DataFrame:
     """(id, remarks)."""
-    rows = part.selectExpr("p_partkey AS id", "p_partkey % 10 AS k", "CAST(p_size AS STRING) AS z", "CAST(100 + p_size AS STRING) AS n", "CAST(100 * p_size AS STRING) AS s").withColumn("q", F.lit("'"))
+    rows = part.selectExpr("p_partkey AS id", "p_partkey % 11 AS k", "CAST(p_size AS STRING) AS z", "CAST(100 + p_size AS STRING) AS n", "CAST(100 * p_size AS STRING) AS s").withColumn("q", F.lit("'"))
     return rows.select("id", F.expr(by_template(REMARKS)).alias("remarks"))
