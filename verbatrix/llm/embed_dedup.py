@@ -112,10 +112,11 @@ def _screen(threshold: float):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for size, lo, hi, nodes, blob, others, other in frame[["bytes", "lo", "hi", "nodes", "blob", "others", "other"]].itertuples(index=False):
-                tiles = [Quantised.unpacked(blob)] + ([Quantised.unpacked(other)] if lo != hi else [])
-                mine, theirs = open_rows(tiles[0], tiles[-1], threshold, lo == hi)
-                found = [(lo, nodes[mine])] + ([(hi, others[theirs])] if lo != hi else [])
+            for size, one, two, nodes, blob, others, other in frame[["bytes", "tile", "with", "nodes", "blob", "others", "other"]].itertuples(index=False):
+                tiles = [Quantised.unpacked(blob)] + ([Quantised.unpacked(other)] if one != two else [])
+                mine, theirs = open_rows(tiles[0], tiles[-1], threshold, one == two)
+                found = [(one, nodes[mine])] + ([(two, others[theirs])] if one != two else [])
+                lo, hi = min(one, two), max(one, two)
                 for tile, some in found:
                     if len(some):
                         yield pd.DataFrame({"bytes": np.int32(size), "lo": np.int32(lo), "hi": np.int32(hi), "tile": np.int32(tile), "node": some})
@@ -167,8 +168,10 @@ def near_duplicate_vectors(vectors: DataFrame, *, key: str = "vec_id", vec: str
     tiles = max(1, -(-nodes.count() // tile_rows))
     tiled = nodes.select("node", "copies", "vec", F.length("vec").alias("bytes"), F.pmod(F.xxhash64("node"), F.lit(tiles)).cast("int").alias("tile"))
     blobs = pinned(tiled.groupBy("bytes", "tile").applyInPandas(_build, "bytes int, tile int, nodes array<bigint>, blob binary"))
-    left = blobs.select("bytes", F.col("tile").alias("lo"), "nodes", "blob", F.explode(F.sequence(F.col("tile"), F.lit(tiles - 1))).alias("hi")).repartition("bytes", "lo", "hi")
-    pairs = left.join(blobs.select("bytes", F.col("tile").alias("hi"), F.col("nodes").alias("others"), F.col("blob").alias("other")).hint("shuffle_hash"), ["bytes", "hi"])
+    # tile t meets t, t + 1, ... half way round, so each has as many partners and only the left tile is sent to each of them
+    left = blobs.select("bytes", "tile", "nodes", "blob", F.explode(F.sequence(F.lit(0), F.lit(tiles // 2))).alias("step")).withColumn("with", (F.col("tile") + F.col("step")) % tiles)
+    left = left.where((2 * F.col("step") != tiles) | (F.col("tile") < F.col("with"))).drop("step")
+    pairs = left.join(blobs.select("bytes", F.col("tile").alias("with"), F.col("nodes").alias("others"), F.col("blob").alias("other")).hint("shuffle_hash"), ["bytes", "with"])
     open_ = pinned(pairs.mapInPandas(_screen(threshold), "bytes int, lo int, hi int, tile int, node bigint"))
     fetched = open_.join(nodes.select("node", "copies", "vec"), "node")
     found = pinned(fetched.groupBy("bytes", "lo", "hi").applyInPandas(_compare(threshold), "node bigint, links bigint, root bigint"))
