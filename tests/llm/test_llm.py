@@ -23,7 +23,7 @@ from verbatrix.llm.kd_topk import top_products
 from verbatrix.llm.mixing import earliest_deadlines, mix_sources, schedule, whole_weights
 from verbatrix.llm.packing import cuts, pack_documents, padding
 from verbatrix.llm.quality_fm import FactorisationMachine, score_quality, train_quality
-from verbatrix.llm.simhash import ball, fingerprint, fingerprint_links, simhash_groups
+from verbatrix.llm.simhash import ball, fingerprint, fingerprint_links, links_of_bucket, simhash_groups
 from verbatrix.llm.token_orc import SCHEMA, read_tokens, token_digests, write_token_orc
 from verbatrix.llm.toxicity import score_toxicity, train_toxicity, windows_of
 from verbatrix.llm.url_rules import judge_urls
@@ -389,11 +389,18 @@ def test_simhash_links_of_dense_groups(spark):
     centre = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
     masks = ball(64, 2)
     fps = np.unique(np.concatenate([centre, *(c ^ rng.choice(masks, 60) ^ rng.choice(masks, 60) for c in centre), rng.integers(0, 1 << 63, 200, dtype=np.uint64)]))
-    got = fingerprint_links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint"), len(fps)).collect()
+    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint")
     place = {int(x): i for i, x in enumerate(fps.view(np.int64))}
-    pairs = [(place[r.a], place[r.b]) for r in got]
-    assert all((int(fps[i]) ^ int(fps[j])).bit_count() <= 4 for i, j in pairs)
-    assert components(len(fps), pairs) == components(len(fps), [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4])
+    want = components(len(fps), [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4])
+    for variants in (1 << 21, 500):  # one bucket, and more than a hundred
+        pairs = [(place[r.a], place[r.b]) for r in fingerprint_links(table, len(fps), bucket_variants=variants).collect()]
+        assert all((int(fps[i]) ^ int(fps[j])).bit_count() <= 4 for i, j in pairs)
+        assert components(len(fps), pairs) == want
+    flips = np.arange(len(ball(8, 2)), dtype="<u2")
+    blob = len(fps).to_bytes(4, "little") + fps.astype("<u8").tobytes() + np.full(len(fps), len(flips), "<u2").tobytes() + np.tile(flips, len(fps)).tobytes()
+    for at_once in (1 << 22, 4000):  # a bucket at once, and in parts
+        links = links_of_bucket([blob], 4, 24, 8, 2, at_once)
+        assert components(len(fps), [(place[int(a)], place[int(b)]) for a, b in links.view(np.int64)]) == want
 
 
 def test_factorisation_machine_identity():

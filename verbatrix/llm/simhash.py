@@ -62,16 +62,16 @@ def ball(bits: int, radius: int) -> np.ndarray:
     return np.array(masks, np.uint64)
 
 
-def _emit(bits: int, radius: int, buckets: int, step: int):
-    """Variants of each fingerprint, in blobs by bucket: number of fingerprints, they, how many variants each has here, the variants' masks."""
+def _emit(lead: int, radius: int, buckets: int, step: int):
+    """Each fingerprint with the flips of its ``lead`` leading bits, in blobs by bucket: number of fingerprints, they, how many flips each has here, which."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        masks = ball(bits, radius)
+        masks = ball(lead, radius)
         for f in frames:
             fps = f["fp"].to_numpy(np.int64).view(np.uint64)
             for lo in range(0, len(fps), step):
                 some = fps[lo : lo + step]
-                bucket = (((some >> np.uint64(64 - bits))[:, None] ^ masks[None, :]).ravel() * _MIX >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                bucket = (((some >> np.uint64(64 - lead))[:, None] ^ masks[None, :]).ravel() * _MIX >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
                 order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
                 bucket = bucket[order]
                 first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -89,18 +89,50 @@ def _close(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= most
 
 
-def links_of_bucket(blobs: list[bytes], most: int, bits: int, radius: int) -> np.ndarray:
-    """Pairs of fingerprints at ``most`` bits or fewer that connect all that such pairs among colliding variants connect."""
-    masks, keys, fps = ball(bits, radius), [], []
+def _variants(fps: np.ndarray, which: np.ndarray, bits: int, lead: int, radius: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and fingerprints of the variants with the given leading flips and what flips of other bits are left to them; of ``parts`` that one."""
+    leading, most = ball(lead, radius), np.cumsum([math.comb(lead, k) for k in range(radius + 1)])
+    flips = np.searchsorted(most, which, side="right")
+    keys, whose = [np.empty(0, np.uint32)], [np.empty(0, np.uint64)]
+    for k in range(radius + 1):
+        own, masks = np.flatnonzero(flips == k), ball(bits - lead, radius - k)
+        step = max(1, (1 << 20) // len(masks))
+        for lo in range(0, len(own), step):
+            i = own[lo : lo + step]
+            start = (fps[i] >> np.uint64(64 - bits)) ^ (leading[which[i]] << np.uint64(bits - lead))
+            mixed = (start[:, None] ^ masks[None, :]).ravel() * _MIX
+            mixed ^= mixed >> np.uint64(29)  # two variants that differ may share the lower half: links are verified
+            fp = np.repeat(fps[i], len(masks))
+            if parts > 1:
+                mine = (mixed >> np.uint64(32)) % np.uint64(parts) == part
+                mixed, fp = mixed[mine], fp[mine]
+            keys.append(mixed.astype(np.uint32))
+            whose.append(fp)
+    return np.concatenate(keys), np.concatenate(whose)
+
+
+def links_of_bucket(blobs: list[bytes], most: int, bits: int, lead: int, radius: int, at_once: int = 1 << 22) -> np.ndarray:
+    """Pairs of fingerprints at ``most`` bits or fewer that connect all that such pairs among colliding variants connect.
+
+    About ``at_once`` variants are held at a time: those of a larger bucket come in parts by their hash, so equal ones meet.
+    """
+    fps, which = [], []
     for blob in blobs:
         n = int.from_bytes(blob[:4], "little")
-        times = np.frombuffer(blob, "<u2", n, 4 + 8 * n)
-        fp = np.repeat(np.frombuffer(blob, "<u8", n, 4), times)
-        mixed = ((fp >> np.uint64(64 - bits)) ^ masks[np.frombuffer(blob, "<u2", -1, 4 + 10 * n)]) * _MIX
-        keys.append((mixed ^ (mixed >> np.uint64(29))).astype("<u4"))  # two variants that differ may share this: links are verified
-        fps.append(fp)
-    key, fp = np.concatenate(keys), np.concatenate(fps)
-    del keys, fps
+        fps.append(np.repeat(np.frombuffer(blob, "<u8", n, 4), np.frombuffer(blob, "<u2", n, 4 + 8 * n)))
+        which.append(np.frombuffer(blob, "<u2", -1, 4 + 10 * n))
+    fp, flip = np.concatenate(fps), np.concatenate(which)
+    del fps, which
+    each = np.repeat([sum(math.comb(bits - lead, j) for j in range(radius - k + 1)) for k in range(radius + 1)], [math.comb(lead, k) for k in range(radius + 1)])
+    parts = max(1, -(-int(each[flip].sum()) // at_once))
+    found = [_links(*_variants(fp, flip, bits, lead, radius, p, parts), most) for p in range(parts)]
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _links(key: np.ndarray, fp: np.ndarray, most: int) -> np.ndarray:
+    """Links among the fingerprints of each key, enough to connect those that links there connect."""
+    if not len(key):
+        return np.empty((0, 2), np.uint64)
     order = np.argsort(key, kind="stable")
     key, fp = key[order], fp[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -135,27 +167,31 @@ def links_of_bucket(blobs: list[bytes], most: int, bits: int, radius: int) -> np
     return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.uint64)
 
 
-def fingerprint_links(fps: DataFrame, n: int, *, most: int = 4, bucket_mb: int = 8) -> DataFrame:
+def fingerprint_links(fps: DataFrame, n: int, *, most: int = 4, bucket_variants: int = 1 << 21) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fps`` (fp) at ``most`` bits or fewer, enough to connect each component.
 
-    Two such fingerprints have a variant in common when each flips at most half of ``most`` bits. The variants are
-    shuffled by their leading bits only, which all variants with other trailing flips share, so that those are
-    emitted once; the bits kept grow with log2(n) so that chance collisions stay rare, and every collision is
-    verified on all 64 bits. Variants travel packed, by hash bucket, so a group of near copies spreads over buckets, whose number
-    grows with that of the variants (about ``bucket_mb`` each).
+    Two such fingerprints have a variant in common when each flips at most half of ``most`` bits. Variants are
+    compared by their leading bits only, which all variants with other trailing flips share; the bits kept grow with
+    log2(n) so that chance collisions stay rare, and every collision is verified on all 64 bits. Variants meet in hash
+    buckets, whose number grows with that of the variants (about ``bucket_variants`` each). A bucket is named by fewer
+    leading bits still, so a fingerprint travels once for each way to flip those, packed, and the variants are made where they
+    meet. Buckets are dealt to tasks of about 16 MB, and a bucket's variants are held in parts of bounded size.
     """
     bits = min(64, max(20, math.ceil(math.log2(max(n, 2))) + 14))
     radius = most // 2 + most % 2
-    masks = sum(math.comb(bits, k) for k in range(radius + 1))
-    buckets = min((1 << 31) - 1, n * masks * 3 // (bucket_mb << 20) + 1)
-    step = max(256, min(1 << 14, (1 << 21) // masks))
+    variants = sum(math.comb(bits, k) for k in range(radius + 1))
+    buckets = min((1 << 31) - 1, n * variants // bucket_variants + 1)
+    lead = min(bits, max(8, math.ceil(math.log2(buckets)) + 5))
+    sent = sum(math.comb(lead, k) for k in range(radius + 1))
+    step = max(256, min(1 << 14, (1 << 21) // sent))
 
     def reduce(frame: pd.DataFrame) -> pd.DataFrame:
-        pairs = links_of_bucket(list(frame["blob"]), most, bits, radius).view(np.int64)
+        pairs = links_of_bucket(list(frame["blob"]), most, bits, lead, radius).view(np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    blobs = fps.select("fp").repartition(max(1, n * masks >> 22), "fp").mapInPandas(_emit(bits, radius, buckets, step), "bucket int, blob binary")
-    return blobs.groupBy("bucket").applyInPandas(reduce, "a bigint, b bigint").distinct()
+    blobs = fps.select("fp").repartition(max(1, n * sent >> 21), "fp").mapInPandas(_emit(lead, radius, buckets, step), "bucket int, blob binary")
+    dealt = blobs.repartition(max(1, 12 * n * sent >> 24), "bucket")
+    return dealt.groupBy("bucket").applyInPandas(reduce, "a bigint, b bigint").distinct()
 
 
 def simhash_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = 4, shingle: int = 4, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
