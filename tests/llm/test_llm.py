@@ -525,6 +525,34 @@ def test_toxicity_crosses_white_space(spark):
     assert [r.score >= 0.5 for r in sorted(got, key=lambda r: r.doc_id)] == [True, True, True, False, False]
 
 
+def test_toxicity_tolerates_inserted_letters(spark):
+    rng = np.random.default_rng(23)
+    rows, labels = [], []
+    for i in range(400):
+        w = list(rng.choice(WORDS, 30))
+        if i % 4 == 0:
+            w.insert(int(rng.integers(len(w))), "blockhead")
+        rows.append((i, " ".join(w) + ".", "s"))
+        labels.append((i, 1, int(i % 4 == 0)))
+    model = train_toxicity(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), F.lit(True))
+    odd = [f"oak maple {'blockhead'[:k]}{c}{'blockhead'[k:]} spruce" for k in range(1, 9) for c in "xqe*_"]
+    clean = [" ".join(rng.choice(WORDS, 8)) for _ in range(40)]
+    got = sorted(score_toxicity(docs_of(spark, [(i, t, "s") for i, t in enumerate(odd + clean)]), model).collect(), key=lambda r: r.doc_id)
+    assert all(r.score >= 0.5 for r in got[:40]) and not any(r.score >= 0.5 for r in got[40:])
+
+
+def test_a_letter_is_inserted_in_the_worst_place():
+    w = windows_of(["oak idiot elm", "maple"])
+    place = lambda t: functools.reduce(lambda a, c: a * 40 + ord(c) - 96, t, 0)
+    table = np.zeros(40**4, np.complex64)
+    table[place("idio")] = 1
+    more, copies = toxicity.inserted(w, np.array([0]), table, np.random.default_rng(1))
+    a, b = more.start[copies[0]], more.end[copies[0]]
+    x = "".join(" " if c == 0 else chr(96 + c) for c in more.codes[a:b])
+    assert len(copies) == 1 and more.text[copies[0]] == 0 and x[:5] == " oak " and x[-5:] == " elm " and len(x) == len(" oak idiot elm ") + 1
+    assert (more.start[:2] == w.start).all() and (more.codes[: len(w.codes)] == w.codes).all()
+
+
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "b.example.net", ""), ("block", "org", "/es/")]
 
 

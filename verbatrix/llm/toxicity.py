@@ -24,6 +24,8 @@ WORDS, LONGEST = 6, 40
 AT_ONCE, OVERLAP = 250_000, 4096
 #: A subsequence that is in a share s of the clean texts counts 1 / (1 + s / RARE).
 RARE = 0.01
+#: What a toxic stretch with a letter inserted weighs against a text when the threshold is chosen.
+INSERTED = 0.25
 #: Fixed: digits and marks that stand for letters.
 _LOOKS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _SHAPES = [(0, *rest) for rest in combinations(range(1, SPAN), ORDER - 1)]
@@ -283,11 +285,28 @@ def landmark_map(w: Windows, rows: np.ndarray, landmarks: np.ndarray, rarity: np
     return kernel, used, phi[:-1]
 
 
+def inserted(w: Windows, i: np.ndarray, table: np.ndarray, rng: np.random.Generator) -> tuple[Windows, np.ndarray]:
+    """``w`` with a copy of each stretch ``i`` that has one more letter, drawn at random, inside its most toxic subsequences; and the copies' numbers."""
+    codes, size = [], len(w.codes)
+    for a, b in zip(w.start[i], w.end[i]):
+        x = w.codes[a:b]
+        p, value = x.astype(np.int32), np.zeros(len(x))
+        for (_, j, k, m), weight in zip(_SHAPES, _WEIGHTS, strict=True):
+            n = len(x) - m
+            if n > 0:
+                value[:n] += weight * table.real[((p[:n] * SYMBOLS + p[j : n + j]) * SYMBOLS + p[k : n + k]) * SYMBOLS + p[m:]]
+        codes.append(np.insert(x, min(int(value.argmax()) + int(rng.integers(2, ORDER)), len(x) - 1), rng.integers(1, 27)))
+    end = (size + np.cumsum([0] + [len(c) for c in codes])).astype(w.end.dtype)
+    both = [np.concatenate(c) for c in ((w.codes, *codes), (w.start, end[:-1]), (w.end, end[1:]), (w.text, w.text[i]))]
+    return Windows(*both), len(w.start) + np.arange(len(i))
+
+
 def _train(texts: list[str], toxic: np.ndarray, landmarks: int = 256, rounds: int = 2, cost: float = 5.0, seed: int = 9) -> Machine | None:
     """A toxic text's label holds for at least one of its stretches: which one, its witness, is chosen anew each round.
 
     The first choice is by how much more often a stretch's subsequences occur in toxic texts. Each round draws landmarks from the witnesses
-    and the clean stretches, maps stretches to the span of the landmarks (Nystroem), and fits the machine there.
+    and the clean stretches, maps stretches to the span of the landmarks (Nystroem), and fits the machine there. Witnesses are also learned,
+    and weigh INSERTED of a text in the threshold, with a letter inserted.
     """
     rng = np.random.default_rng(seed)
     w = _all_windows(texts)
@@ -322,13 +341,16 @@ def _train(texts: list[str], toxic: np.ndarray, landmarks: int = 256, rounds: in
         some = np.unique(np.r_[hard, rng.choice(clean, min(2500, len(clean)), replace=False)])
         z = np.concatenate([rng.choice(x, min(n, len(x)), replace=False) for x, n in ((witness, landmarks // 2), (hard, landmarks // 4), (clean, landmarks // 4))])
         del score, order, top
-        used, weights, bias = _fitted(w, witness, some, z, rarity, cost)
+        more, copies = inserted(w, witness, machine.table, rng)
+        used, weights, bias = _fitted(more, np.r_[witness, copies], some, z, rarity, cost)
         machine.table.real = 0
         machine.table.real[used] = weights
-    got = machine.margins(texts)
+    got = np.r_[machine.margins(texts), np.maximum(exact(machine.table, more, copies), 0)]
     order = np.argsort(got, kind="stable")
     below = np.r_[got[order[0]] - 1, got[order], got[order[-1]] + 1]
-    right = np.r_[0, np.cumsum(1 - toxic[order])] + np.r_[np.cumsum(toxic[order][::-1])[::-1], 0]  # with the threshold between below[i] and below[i + 1]
+    bad = np.r_[toxic, np.full(len(copies), INSERTED)][order]
+    good = np.r_[1 - toxic, np.zeros(len(copies))][order]
+    right = np.r_[0, np.cumsum(good)] + np.r_[np.cumsum(bad[::-1])[::-1], 0]  # with the threshold between below[i] and below[i + 1]
     right = np.where(below[1:] > below[:-1], right, -1)
     best = np.flatnonzero(right == right.max())
     machine.middle = float(below[best[0]] + below[best[-1] + 1]) / 2
