@@ -134,6 +134,15 @@ def test_files(spark, tmp_path):
     assert "&lt;b&gt;" in open(f"{tmp_path}/x.html").read()
 
 
+def test_jdbc(spark):
+    url = "jdbc:derby:memory:listings;create=true"
+    spark.createDataFrame([(1, "red barn"), (2, None), (3, "open")], "ID int, T string").coalesce(1).write.jdbc(url, "remarks")
+    got = io.read_jdbc(spark, "select id, t from remarks where id < 3", url=url)
+    assert sorted(map(tuple, got.collect())) == [(1, "red barn"), (2, None)] and [c.lower() for c in got.columns] == ["id", "t"]
+    parts = io.read_jdbc(spark, "", url=url, dbtable="remarks", partitionColumn="ID", lowerBound="1", upperBound="4", numPartitions="3")
+    assert parts.count() == 3 and parts.rdd.getNumPartitions() == 3
+
+
 def test_stream(spark, tmp_path):
     df = spark.createDataFrame([(r,) for r in REMARKS], "remarks string")
     df.write.parquet(f"{tmp_path}/in")
