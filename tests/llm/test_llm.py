@@ -4,9 +4,13 @@ import functools
 import html
 import itertools
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -724,6 +728,25 @@ def test_pipeline_stages_on_odd_rows(spark, corpus, tmp_path):
         assert stage(spark, odd, str(tmp_path)).count() == len(rows)
 
 
+@pytest.mark.parametrize("stage", ["near_duplicates", "packing"])
+def test_stages_run_in_applications_of_their_own(stage, tmp_path):
+    """As after a restart: no stage before has sent the package, and the workers' path doesn't have it."""
+    top = Path(__file__).resolve().parents[2]
+    code = f"""if True:
+        import sys
+        sys.path.insert(0, {str(top)!r})
+        import corpus_pipeline
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", {str(tmp_path)!r}).getOrCreate()
+        rows = [(1, "a b c d e", "en", "x", 9), (2, "a b c d e", "en", "x", 9), (3, None, "en", "y", 0)]
+        spark.createDataFrame(rows, {DOCS!r}).write.parquet("docs")
+        print("ROWS", corpus_pipeline.{stage}(spark, spark.read.parquet("docs"), ".").count())
+    """
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))}
+    out = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert f"ROWS {2 if stage == 'near_duplicates' else 3}" in out.stdout, out.stderr[-2000:]
+
+
 def test_shared_files_can_be_cleared(spark):
     from verbatrix.llm import common
 
