@@ -148,3 +148,57 @@ def test_stream(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/in")
     clean_files(spark, f"{tmp_path}/in", "remarks string", "remarks", f"{tmp_path}/out", f"{tmp_path}/cp").start().awaitTermination(120)
     assert sorted(r.remarks for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(r.remarks for r in TextCleaner().clean_column(df, "remarks").collect())
+
+
+def test_bigrams_over_row_ends_of_any_ids(spark):
+    """Ids below zero, far apart, at stretches' ends, repeated and null (last), against the rows in order."""
+    from collections import Counter
+    from random import Random
+
+    from verbatrix.operators.ngrams import bigram_counts
+
+    rng = Random(4)
+    ids = [-(1 << 63), -(1 << 40) - 1, -(1 << 40), -1, 0, 1, (1 << 18) - 1, 1 << 18, (1 << 40) - 1, 1 << 40, (1 << 62) + 5, (1 << 63) - 2, *(rng.randrange(-(1 << 62), 1 << 62) for _ in range(40))]
+    rows = [(i, " ".join(rng.choices(["ash", "bay", "the", "7"], k=rng.randint(0, 4)))) for i in ids] + [(3, "ash bay")] * 4 + [(5, None), (None, "bay"), (None, "bay")]
+    rng.shuffle(rows)
+    want = Counter()
+    last = None
+    for _, text in sorted((r for r in rows if r[1]), key=lambda r: (r[0] is None, r[0] or 0)):
+        words = [w for w in text.split() if w.isalpha()]
+        want.update(f"{a} {b}" for a, b in zip(([last] if last and words else []) + words, words if last else words[1:]) if "the" not in (a, b))
+        last = words[-1] if words else last
+    for parts in (1, 7):
+        got = bigram_counts(spark.createDataFrame(rows, "i bigint, t string").repartition(parts), "t", row_id="i")
+        assert {r.term: r.n for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["q_top_bigrams_treebank", "q_top_bigrams_across"])
+def test_bigrams_over_row_ends_read_texts_once(spark, name):
+    from verbatrix import catalog
+
+    top = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    top.collect()
+    assert top._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan parquet") == 1
+
+
+def test_treebank_words_of_marks_side_by_side(spark):
+    """The words by the rules one after another, as they are stated, whichever of them a text needs."""
+    import random
+    import re
+
+    from verbatrix.functions.tokens import tokens
+
+    space, letter = r"[\t-\r\x1c-\x20]", "[a-z]"
+    rules = (
+        (r"([;@#$%&?!\[\](){}<>\"“”—]|\.{2,}|--+|``|'')", r" \1 "), (r"([:,])(?!\d)", r" \1 "), (rf"([^.])(\.)(?=[\])}}>\"']*(?:{space}|\Z))", r"\1 \2 "),
+        (rf"(?:(?<={space})|(?<!.)(?<!\n))'(?={letter})|'(?={space}|\Z)", " ' "), (rf"(?<={letter})(n't)(?!\w)", r" \1"), (r"(?<=[a-z0-9])('(?:s|m|d|ll|re|ve))(?!\w)", r" \1"),
+        (r"(?<!\w)(can)(not)(?!\w)", r"\1 \2"), (r"(?<!\w)(gim|lem)(me)(?!\w)", r"\1 \2"), (r"(?<!\w)(gon|wan)(na)(?!\w)", r"\1 \2"), (r"(?<!\w)(got)(ta)(?!\w)", r"\1 \2"),
+    )
+    rng, parts = random.Random(8), ["a", "n", "cannot", "gimme", "lemme", "gonna", "wanna", "gotta", "n't", "'s", "'ve", "'", "``", ".", "..", ",", ":", ")", "“", "—", "--", " ", "\n", "1", "_"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(4000)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tokens(F.col("t")).alias("w")).collect()
+    for i, words in got:
+        t = texts[i]
+        for pattern, new in rules:
+            t = re.sub(pattern, new, t)
+        assert words == [w for w in t.split() if re.fullmatch("[a-z]+", w)], texts[i]

@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed import NOT_SPACE, SPACE, STOP_WORDS
 
-#: (pattern, replacement), in order: marks that stand alone, sentence ends, clitics, contractions.
+_NEXT = r"(?![\p{L}\p{N}_])"
+_BEFORE = r"(?<![\p{L}\p{N}_]"
+#: Marks that stand alone and sentence ends, clitics, contractions: the strings one of which a text must have (none: any text), and (pattern, replacement) in order.
+#: What is looked for begins a pattern, and what stands before it is looked at afterwards: most places are passed by one comparison.
 _RULES = (
-    (r"([;@#$%&?!\[\](){}<>\"“”‘«»…—]|\.{2,}|--+|``|'')", " $1 "),
-    (r"([:,])(?!\p{Nd})", " $1 "),
-    (rf"([^.])(\.)(?=[\])}}>\"']*(?:{SPACE}|\z))", "$1 $2 "),
-    (rf"(?<={SPACE}|\A)'(?=[\p{{L}}])|'(?={SPACE}|\z)", " ' "),
-    (r"(?<=[\p{L}])(n't)(?![\p{L}\p{N}_])", " $1"),
-    (r"(?<=[\p{L}\p{N}])('(?:s|m|d|ll|re|ve))(?![\p{L}\p{N}_])", " $1"),
-    (r"(?<![\p{L}\p{N}_])(can)(not)(?![\p{L}\p{N}_])", "$1 $2"),
-    (r"(?<![\p{L}\p{N}_])(gim|lem)(me)(?![\p{L}\p{N}_])", "$1 $2"),
-    (r"(?<![\p{L}\p{N}_])(gon|wan)(na)(?![\p{L}\p{N}_])", "$1 $2"),
-    (r"(?<![\p{L}\p{N}_])(got)(ta)(?![\p{L}\p{N}_])", "$1 $2"),
-)
+    ((), (
+        (r"(?![a-zA-Z0-9 ,])([;@#$%&?!\[\](){}<>\"“”‘«»…—]|\.{2,}|--+|``|'')", " $1 "),
+        (rf"([:,](?!\p{{Nd}})|\.(?<=[^.]\.)(?=[\])}}>\"']*(?:{SPACE}|\z|[:,](?!\p{{Nd}}))))", " $1 "),
+    )),
+    (("'",), (
+        (rf"'(?:(?<=(?:{SPACE}|\A)')(?=\p{{L}})|(?={SPACE}|\z))", " ' "),
+        (rf"(n't)(?<=\p{{L}}n't){_NEXT}", " $1"),
+        (rf"('(?<=[\p{{L}}\p{{N}}]')(?:s|m|d|ll|re|ve)){_NEXT}", " $1"),
+    )),
+    (("cannot", "gimme", "lemme", "gonna", "wanna", "gotta"), (
+        (rf"(c{_BEFORE}c)an)(not){_NEXT}", "$1 $2"),
+        (rf"(g{_BEFORE}g)im|l{_BEFORE}l)em)(me){_NEXT}", "$1 $2"),
+        (rf"(g{_BEFORE}g)on|w{_BEFORE}w)an)(na){_NEXT}", "$1 $2"),
+        (rf"(g{_BEFORE}g)ot)(ta){_NEXT}", "$1 $2"),
+    )),
+)
 
 
 def word_count(text: Column) -> Column:
@@ -33,11 +44,17 @@ def tokens(text: Column, *, mode: str = "treebank", lowercase: bool = True, stri
     """
     text = F.lower(text) if lowercase else text
     if mode == "treebank":
-        for pattern, new in _RULES:
-            text = F.regexp_replace(text, pattern, new)
-    words = F.regexp_extract_all(text, F.lit(f"{NOT_SPACE}+"), F.lit(0))
-    pattern = r"\A[a-z]+\z" if strict else r"\A[A-Za-z]"
-    return F.filter(words, lambda w: (w if strict else F.lower(w)).rlike(pattern))
+        for needed, rules in _RULES:
+            text = F.transform(F.array(text), lambda t: F.when(reduce(or_, [F.contains(t, F.lit(x)) for x in needed]), _replaced(t, rules)).otherwise(t))[0] if needed else _replaced(text, rules)
+    if strict:
+        return F.regexp_extract_all(text, F.lit(rf"(?<![a-z])(?<!{NOT_SPACE})[a-z]++(?!{NOT_SPACE})"), F.lit(0))
+    return F.filter(F.regexp_extract_all(text, F.lit(f"{NOT_SPACE}+"), F.lit(0)), lambda w: F.lower(w).rlike(r"\A[A-Za-z]"))
+
+
+def _replaced(text: Column, rules) -> Column:
+    for pattern, new in rules:
+        text = F.regexp_replace(text, pattern, new)
+    return text
 
 
 def bigrams(words: Column, stop_words=STOP_WORDS) -> Column:

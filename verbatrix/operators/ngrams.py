@@ -2,30 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import STOP_WORDS
 from ..functions.tokens import bigrams, tokens
 
 
+#: Bits of ids that the levels of ``_across`` take off, the last one all that are left.
+_LEVELS = (18, 22, 24)
+
+
 def bigram_counts(df: DataFrame, column: str, *, tokenizer: str = "treebank", row_id: str | None = None, stop_words=STOP_WORDS) -> DataFrame:
-    """(term, n). With ``row_id`` (whole numbers) the last word of each row is also paired with the first of the next that has words."""
+    """(term, n). With ``row_id`` (whole numbers) the last word of each row is also paired with the first of the next that has words.
+
+    Null ids come last; rows of one id are ordered by their first and last words. Texts are read and split once: the first and last words go
+    along with the bigrams, through one shuffle that all later steps share.
+    """
     words = tokens(F.col(column), mode=tokenizer)
-    found = df.select(F.explode(bigrams(words, stop_words)).alias("term"))
-    if row_id:
-        found = found.unionByName(_across(df.select(F.col(row_id).alias("id"), words.alias("w")).where("size(w) > 0"), stop_words))
-    return found.groupBy("term").agg(F.count("*").alias("n"))
-
-
-def _across(rows: DataFrame, stop_words, span: int = 100_000) -> DataFrame:
-    """Pairs over row ends: inside stretches of ``span`` ids by a window each, between them by one row a stretch."""
-    ends = rows.select("id", F.floor(F.col("id") / span).alias("part"), F.get("w", F.lit(0)).alias("a"), F.element_at("w", -1).alias("b"))
-    inside = ends.select(F.col("b").alias("left"), F.lead("a").over(Window.partitionBy("part").orderBy("id")).alias("right"))
-    parts = ends.groupBy("part").agg(F.min_by("a", "id").alias("a"), F.max_by("b", "id").alias("b"))
-    between = parts.select(F.col("b").alias("left"), F.lead("a").over(Window.orderBy("part")).alias("right"))
-    pairs = inside.unionByName(between).where("right is not null")
-    return pairs.where(~F.col("left").isin(*stop_words) & ~F.col("right").isin(*stop_words)).select(F.concat_ws(" ", "left", "right").alias("term"))
+    if not row_id:
+        return df.select(F.explode(bigrams(words, stop_words)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    at = F.coalesce(F.col(row_id).cast("long"), F.lit((1 << 63) - 1))
+
+    def rows(w: Column) -> Column:
+        inside = F.transform(bigrams(w, stop_words), lambda t: F.struct(t.alias("term"), F.lit(None).cast("long").alias("at")))
+        ends = F.array(F.struct(F.concat_ws(" ", F.get(w, F.lit(0)), F.get(w, F.size(w) - 1)).alias("term"), at.alias("at")))
+        return F.when(F.size(w) > 0, F.concat(inside, ends))
+
+    each = df.select(F.explode(F.transform(F.array(words), rows)[0]).alias("r")).select("r.*")
+    # conditions on counts stay above the shuffle, and all that read it ask for the same counts, so that Spark makes it once
+    counted = each.groupBy("term", "at").agg(F.count("*").alias("n"), F.count("at").alias("ends"))
+    found = counted.where("ends = 0 and n > 0").select("term", "n").unionByName(_across(counted.where("ends > 0 and n > 0"), stop_words))
+    return found.groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _across(ends: DataFrame, stop_words) -> DataFrame:
+    """Pairs (term, n) over row ends, of which ``term`` has a row's first and last word. Of each stretch of ids by a window, then of the stretches, each as one row, and so on: a window's rows are bounded by its level's bits."""
+    rows, pairs = ends.select("at", F.substring_index("term", " ", 1).alias("a"), F.substring_index("term", " ", -1).alias("b"), "n"), None
+    for i, bits in enumerate(_LEVELS):
+        part = F.shiftright("at", bits) if bits != _LEVELS[-1] else F.lit(0)
+        order = ("at", "a", "b")
+        then = F.lead("a").over(Window.partitionBy(part).orderBy(*order))
+        own = rows.select("a", "b", "n", then.alias("then"))
+        if i == 0:  # equal rows follow one another
+            both = F.array(F.struct(F.col("b").alias("left"), F.col("then").alias("right"), F.lit(1).cast("long").alias("n")), F.struct(F.col("b").alias("left"), F.col("a").alias("right"), (F.col("n") - 1).alias("n")))
+            own = own.select(F.inline(both))
+        else:
+            own = own.select(F.col("b").alias("left"), F.col("then").alias("right"), "n")
+        pairs = pairs.unionByName(own) if pairs else own
+        rows = rows.groupBy(part.alias("at")).agg(F.min_by("a", F.struct(*order)).alias("a"), F.max_by("b", F.struct(*order)).alias("b"), F.lit(1).cast("long").alias("n"))
+    pairs = pairs.where("right is not null and n > 0").where(~F.col("left").isin(*stop_words) & ~F.col("right").isin(*stop_words))
+    return pairs.select(F.concat_ws(" ", "left", "right").alias("term"), "n")
 
 
 def top_bigrams(df: DataFrame, column: str, top: int = 200, **how) -> DataFrame:
